@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, bpe, mixture
+from . import anchors, archive, bpe, mixture, neardup
 from .store import table
 
 
@@ -21,6 +21,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link_components(table(spark, sf_dir, "documents"))
+
+
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,6 +41,31 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN array_to_string(ws[i:i + 34], ' ') END AS s
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+r AS (SELECT doc_id, i, word, CASE WHEN s IS NOT NULL AND count(*) OVER (PARTITION BY s) > 1 THEN 1 ELSE 0 END AS rep FROM t),
+g AS (SELECT doc_id, i, word, max(rep) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r),
+d AS (SELECT doc_id, count(*) AS n, sum(gone) AS m, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(m, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN d USING (doc_id)
+"""
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 3], ' ') END AS sh
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM g a JOIN g b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
 OP8_SQL = """
 SELECT p.page_id, octet_length(encode(coalesce(p.html, ''))) AS payload_bytes, sha256(coalesce(p.html, '')) AS payload_digest,
        CASE WHEN octet_length(encode(coalesce(p.html, ''))) < 100 OR p.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
@@ -42,8 +75,8 @@ FROM pages p JOIN (SELECT coalesce(html, '') AS body, min(page_id) AS first_id F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixture, op8_archive, op9_bpe)}
+    return {f.__name__: f for f in (op1_anchors, op3_neardup, op4_mixture, op8_archive, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_archive": OP8_SQL}
+    return {"op1_anchors": OP1_SQL, "op3_neardup": OP3_SQL, "op8_archive": OP8_SQL}
