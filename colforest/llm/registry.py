@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, archive, bpe, mixture, neardup
+from . import anchors, archive, bpe, mixture, neardup, spotsigs
 from .store import table
 
 
@@ -41,6 +41,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.neighbour_report(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 t AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN array_to_string(ws[i:i + 34], ' ') END AS s
@@ -75,7 +79,7 @@ FROM pages p JOIN (SELECT coalesce(html, '') AS body, min(page_id) AS first_id F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_anchors, op3_neardup, op4_mixture, op8_archive, op9_bpe)}
+    return {f.__name__: f for f in (op1_anchors, op3_neardup, op4_mixture, op8_archive, op9_bpe, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
