@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, archive, bpe, mixture, neardup, spotsigs
+from . import anchors, archive, bitsliced, bpe, mixture, neardup, spotsigs, toxicity
 from .store import table
 
 
@@ -33,6 +33,14 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.round_trip(table(spark, sf_dir, "pages"))
 
@@ -70,6 +78,15 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.compo
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
+OP7_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * e.x[i])) AS BIGINT) AS score
+      FROM e q JOIN e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 OP8_SQL = """
 SELECT p.page_id, octet_length(encode(coalesce(p.html, ''))) AS payload_bytes, sha256(coalesce(p.html, '')) AS payload_digest,
        CASE WHEN octet_length(encode(coalesce(p.html, ''))) < 100 OR p.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
@@ -79,8 +96,8 @@ FROM pages p JOIN (SELECT coalesce(html, '') AS body, min(page_id) AS first_id F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_anchors, op3_neardup, op4_mixture, op8_archive, op9_bpe, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_anchors, op3_neardup, op4_mixture, op6_toxicity, op7_bitsliced, op8_archive, op9_bpe, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_anchors": OP1_SQL, "op3_neardup": OP3_SQL, "op8_archive": OP8_SQL}
+    return {"op1_anchors": OP1_SQL, "op3_neardup": OP3_SQL, "op7_bitsliced": OP7_SQL, "op8_archive": OP8_SQL}
