@@ -14,12 +14,17 @@ the input other than the three it reads are not carried.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating (fixed values of the contract).
 WEIGHTS = (5, 2, 1)
@@ -82,8 +87,6 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         F.col(key).alias("doc_id"), F.col(source).alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    from .store import stored
-
     sized = stored(sized, "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size")).collect()  # one row per source
     order = sorted(per_source, key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
@@ -124,21 +127,29 @@ def materialise(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     rows = docs.join(taken, docs[key].eqNullSafe(taken["_key"]))
     rows = rows.withColumn("_part", F.explode(F.expr("if(part > 0, array_append(array_repeat(_size, int(copies)), part), array_repeat(_size, int(copies)))")))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        word = re.compile(WORD)
-        for pdf in batches:
-            short = pdf.index[pdf["_part"] < pdf["_size"]]
-            for i in short:
-                left, end = int(pdf.at[i, "_part"]), 0
-                for m in word.finditer(pdf.at[i, text]):
-                    left, end = left - 1, m.end()
-                    if left == 0:
-                        break
-                pdf.at[i, text] = pdf.at[i, text][:end]
-                if "n_chars" in pdf:
-                    pdf.at[i, "n_chars"] = end
-            yield pdf[docs.columns]
-
-    return rows.select(*docs.columns, "_part", "_size").mapInPandas(cut, docs.schema)
+    names, word = docs.columns, re.compile(WORD)
+    place, chars = names.index(text), names.index("n_chars") if "n_chars" in names else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = list(b.columns)
+            part, size = columns.pop(-2), columns.pop(-1)
+            short = np.flatnonzero(part.to_numpy() < size.to_numpy()).tolist()
+            if short:
+                texts = columns[place].to_pylist()
+                lengths = columns[chars].to_pylist() if chars is not None else None
+                for i in short:
+                    left, end = part[i].as_py(), 0
+                    for m in word.finditer(texts[i]):
+                        left, end = left - 1, m.end()
+                        if left == 0:
+                            break
+                    texts[i] = texts[i][:end]
+                    if lengths is not None:
+                        lengths[i] = end
+                columns[place] = pa.array(texts, b.schema.field(place).type)
+                if lengths is not None:
+                    columns[chars] = pa.array(lengths, b.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(b.schema)[:-2]))
+
+    return rows.select(*docs.columns, "_part", "_size").mapInArrow(cut, docs.schema)

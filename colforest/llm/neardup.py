@@ -247,3 +247,9 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows of documents that are not the smallest of their component; all columns stay."""
+    gone = link_components(docs, key, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(stored(gone, "gone"), F.col(key) == F.col("_gone"), "left_anti")

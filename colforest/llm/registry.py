@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, archive, bitsliced, bpe, mixture, neardup, spotsigs, toxicity
+from . import anchors, archive, bitsliced, bpe, mixture, neardup, personal, spotsigs, toxicity
 from .store import table
 
 
@@ -25,6 +25,10 @@ def op1_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op2_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(table(spark, sf_dir, "documents"))
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_components(table(spark, sf_dir, "documents"))
 
@@ -96,7 +100,7 @@ FROM pages p JOIN (SELECT coalesce(html, '') AS body, min(page_id) AS first_id F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_anchors, op3_neardup, op4_mixture, op6_toxicity, op7_bitsliced, op8_archive, op9_bpe, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_anchors, op2_personal, op3_neardup, op4_mixture, op6_toxicity, op7_bitsliced, op8_archive, op9_bpe, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
