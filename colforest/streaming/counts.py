@@ -23,7 +23,8 @@ def running_counts(stream: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def windowed_counts(stream: DataFrame, columns: Sequence[str], time: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """The same by event-time window; windows are dropped from state once ``late`` behind."""
-    rows = exploded(stream.withWatermark(time, late), columns, [time])
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    rows = exploded(timed, columns, [time])
     return rows.groupBy(F.window(time, width), "i", "j", "x", "y").agg(F.count("*").alias("c")).select(F.col("window.start").alias("start"), "i", "j", "x", "y", "c")
 
 
