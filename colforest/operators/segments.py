@@ -11,7 +11,7 @@ from __future__ import annotations
 import bz2
 import json
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..plans.forest import depths
 from ..sources.tables import kept, numbered, shared_path
 from . import kinds as K
+from .models import Net
 from .pairs import text_of
 
 STRIPE = 131_072
@@ -163,16 +164,74 @@ def tokenise(df: DataFrame, columns: Sequence[str], key: str, kinds: dict[str, K
     return codes, dictionary, exceptions
 
 
-def segments(codes: DataFrame, parents: Sequence[int], stripe: int = STRIPE, choice: str = "all") -> DataFrame:
-    """(col_id, stripe, parent_code, n, codec, payload); parent_code is null for roots."""
-    n = len(parents)
+#: Models by column: the columns that one is told from, and its stored bytes.
+Nets = dict[int, tuple[list[int], bytes]]
+
+
+def _rank_order(net: Net, given: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row -> its combination of given values, combination -> class numbers from the likeliest down).
+
+    Both coder and decoder score the sorted distinct combinations, in double precision and rounded, so they
+    agree on every order."""
+    combos, row = np.unique(np.stack(given, axis=1), axis=0, return_inverse=True)
+    z = np.round(np.log(np.maximum(net.probabilities(net.ids([list(map(str, combos[:, k].tolist())) for k in range(combos.shape[1])])), 1e-30)), 6)
+    return row.ravel(), np.argsort(-z, axis=1, kind="stable")
+
+
+def ranks_of(net: Net, given: list[np.ndarray], v: np.ndarray) -> np.ndarray:
+    row, order = _rank_order(net, given)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    known = np.array(list(map(int, net.children)), dtype=np.int64)
+    by = np.argsort(known)
+    at = by[np.minimum(np.searchsorted(known[by], v), len(known) - 1)]
+    # a value that the model has never seen stands beyond all ranks, as itself
+    return np.where(known[at] == v, place[row, at], len(known) + ((v << 1) ^ (v >> 63)))
+
+
+def values_of(net: Net, given: list[np.ndarray], r: np.ndarray) -> np.ndarray:
+    row, order = _rank_order(net, given)
+    known = np.array(list(map(int, net.children)), dtype=np.int64)
+    u = r - len(known)
+    return np.where(u < 0, known[order[row, np.minimum(r, len(known) - 1)]], (u >> 1) ^ -(u & 1))
+
+
+def learn_nets(codes: DataFrame, parents: Sequence[int], coder: str, **how) -> Nets:
+    """Models for an archive: ``model`` where one beats the histogram, ``neural`` for every child column,
+    ``autoregressive`` for every column but the first, from up to eight columns before it."""
+    from . import models as M
+
+    nets: Nets = {}
+    for j in range(len(parents)):
+        if coder == "autoregressive" and j:
+            given = list(range(max(0, j - M.MOST_PARENTS), j))
+            net = M.train(codes, [f"c{k}" for k in given], f"c{j}", "row_id", **how)
+        elif coder in ("model", "neural") and parents[j] >= 0:
+            given = [parents[j]]
+            if coder == "model":
+                chosen = M.choose(codes, f"c{parents[j]}", f"c{j}", "row_id", **how)
+                net = chosen["net"] if chosen["use_model"] else None
+            else:
+                net = M.train(codes, [f"c{parents[j]}"], f"c{j}", "row_id", **how)
+        else:
+            net = None
+        if net is not None and len(net.children) > 1:
+            nets[j] = (given, net.to_bytes())
+    return nets
+
+
+def segments(codes: DataFrame, parents: Sequence[int], stripe: int = STRIPE, choice: str = "all", nets: Nets | None = None) -> DataFrame:
+    """(col_id, stripe, parent_code, n, codec, payload); parent_code is null for roots and columns told by a model."""
+    n, nets = len(parents), nets or {}
 
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id")
         at, out = int(pdf["stripe"].iloc[0]), []
         for j in range(n):
             v = pdf[f"c{j}"].to_numpy(np.int64)
-            if parents[j] < 0:
+            if j in nets:
+                v = ranks_of(Net.from_bytes(nets[j][1]), [pdf[f"c{k}"].to_numpy(np.int64) for k in nets[j][0]], v)
+            if parents[j] < 0 or j in nets:
                 out.append((j, at, None, len(v), *encode_ints(v, choice)))
                 continue
             p = pdf[f"c{parents[j]}"].to_numpy(np.int64)
@@ -186,17 +245,23 @@ def segments(codes: DataFrame, parents: Sequence[int], stripe: int = STRIPE, cho
     return striped.groupBy("stripe").applyInPandas(encode, "col_id int, stripe long, parent_code long, n long, codec string, payload binary")
 
 
-def decode_segments(table: DataFrame, parents: Sequence[int], stripe: int = STRIPE) -> DataFrame:
-    """(row_id, c0, c1, ...) from segments: roots first, then every column whose parent is there."""
-    n, order = len(parents), sorted(range(len(parents)), key=lambda j: (depths(parents)[j], j))
+def decode_segments(table: DataFrame, parents: Sequence[int], stripe: int = STRIPE, nets: Nets | None = None) -> DataFrame:
+    """(row_id, c0, c1, ...) from segments: every column once those that it is told from are there."""
+    n, nets = len(parents), nets or {}
+    needs = {j: nets[j][0] if j in nets else [parents[j]] if parents[j] >= 0 else [] for j in range(n)}
+    order: list[int] = []
+    while len(order) < n:
+        order += [j for j in range(n) if j not in order and all(k in order for k in needs[j])]
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         at = int(pdf["stripe"].iloc[0])
         done: dict[int, np.ndarray] = {}
         for j in order:
             own = pdf[pdf.col_id == j]
-            if parents[j] < 0:
+            if parents[j] < 0 or j in nets:
                 done[j] = decode_ints(own.codec.iloc[0], own.payload.iloc[0])
+                if j in nets:
+                    done[j] = values_of(Net.from_bytes(nets[j][1]), [done[k] for k in nets[j][0]], done[j])
                 continue
             p = done[parents[j]]
             places = np.argsort(p, kind="stable")
@@ -217,30 +282,41 @@ def decode_segments(table: DataFrame, parents: Sequence[int], stripe: int = STRI
 # ---- archives ----------------------------------------------------------------------------------------
 
 
-def write_archive(df: DataFrame, path: str, columns: Sequence[str] | None = None, key: str | None = None, forest=None, rare: int = 1, stripe: int = STRIPE, learn: dict | None = None) -> None:
-    """Archive ``df`` (cells as text) under ``path``.  ``key`` gives the order of the rows."""
+def write_archive(df: DataFrame, path: str, columns: Sequence[str] | None = None, key: str | None = None, forest=None, rare: int = 1, stripe: int = STRIPE, learn: dict | None = None, coder: str = "histogram", timer: Callable[[str], None] | None = None, **how) -> None:
+    """Archive ``df`` (cells as text) under ``path``.  ``key`` gives the order of the rows; ``coder`` is
+    histogram, model, neural or autoregressive; ``timer`` hears the name of each stage that has ended."""
     from ..plans.forest import Forest, chain, learn_forest, maximum_forest
 
+    if coder not in ("histogram", "model", "neural", "autoregressive"):
+        raise ValueError(f"unknown coder {coder!r}")
+    tick = timer or (lambda stage: None)
     spark = df.sparkSession
     columns = list(columns or [c for c in df.columns if c != key])
     order = [key] if key else columns
     rows = kept(numbered(df.select(*dict.fromkeys([*order, *columns])), order, "_row").select("_row", *[F.col(c).cast("string").alias(c) for c in columns]), "rows")
+    tick("load")
     if forest is None:
         forest = learn_forest(rows, columns, key="_row", screen=True, **(learn or {})) if len(columns) > 1 else Forest(columns, [], [])
     elif forest == "chain":
         forest = Forest(columns, maximum_forest(len(columns), chain(len(columns))), [])
+    tick("forest")
     kinds = K.infer_kinds(rows, columns)
     parents = forest.parents
     codes, dictionary, exceptions = tokenise(rows, columns, "_row", kinds, rare)
+    tick("codes")
+    nets = learn_nets(codes, parents, coder, **how)
+    tick("models")
     deep = depths(parents)
     manifest = [(k, c, kinds[c].name, kinds[c].digits, parents[k], deep[k]) for k, c in enumerate(columns)]
     save = lambda t, name: t.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
     save(spark.createDataFrame(manifest, "col_id int, name string, kind string, digits int, parent_id int, depth int").coalesce(1), "manifest")
     save(dictionary, "dictionary")
     save(exceptions, "exceptions")
-    save(segments(codes, parents, stripe), "segments")
+    save(segments(codes, parents, stripe, nets=nets), "segments")
+    save(spark.createDataFrame([(j, g, bytearray(b)) for j, (g, b) in nets.items()], "col_id int, given array<int>, net binary").coalesce(1), "models")
     save(forest.edge_table(spark).coalesce(1), "edges")
     save(spark.createDataFrame([("stripe", json.dumps(stripe)), ("columns", json.dumps(columns)), ("version", "1")], "key string, value string").coalesce(1), "options")
+    tick("write")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -248,7 +324,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     manifest = sorted(read("manifest").collect())
     options = {r.key: json.loads(r.value) for r in read("options").collect()}
-    rows = decode_segments(read("segments"), [r.parent_id for r in manifest], options["stripe"])
+    nets = {r.col_id: (list(r.given), bytes(r.net)) for r in read("models").collect()}  # a few, of bounded size
+    rows = decode_segments(read("segments"), [r.parent_id for r in manifest], options["stripe"], nets)
     dictionary = read("dictionary")
     for r in manifest:
         if r.kind in ("categorical", "float"):
@@ -262,9 +339,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("row_id", *[cell(r).alias(r.name) for r in manifest])
 
 
-def round_trip(df: DataFrame, key: str, columns: Sequence[str] | None = None, stripe: int = STRIPE) -> DataFrame:
+def round_trip(df: DataFrame, key: str, columns: Sequence[str] | None = None, stripe: int = STRIPE, **how) -> DataFrame:
     path = shared_path(df.sparkSession, "archive")
-    write_archive(df, path, columns, key, stripe=stripe)
+    write_archive(df, path, columns, key, stripe=stripe, **how)
     return read_archive(df.sparkSession, path)
 
 

@@ -103,6 +103,14 @@ def test_restore_along_a_chain(spark, tmp_path):
     assert s.n_edges == 4 and s.payload_bytes > 0
 
 
+@pytest.mark.parametrize("coder", ["model", "neural", "autoregressive"])
+def test_restore_with_models(spark, coder):
+    df = Y.from_tree(spark, 1_500, TREES[0][3], 5, 6).withColumn("rare", F.when(F.col("row_id") % 500 == 3, F.col("row_id")).otherwise(F.col("col_1")))
+    cols = [f"col_{i}" for i in range(5)] + ["rare"]
+    back = S.round_trip(df, "row_id", cols, stripe=400, coder=coder, epochs=8, max_rows=400)
+    assert S.same_content(back.select("row_id", *cols), df.select("row_id", *[F.col(c).cast("string") for c in cols]))
+
+
 @pytest.mark.parametrize("values", [[], [5], [0] * 50, list(range(100)), [-(2**63), 2**63 - 1, 0, -1] * 3, [1, 1, 1, 9] * 20, [7] * 30 + [8] * 40])
 def test_codecs(values):
     v = np.array(values, dtype=np.int64)
@@ -203,3 +211,27 @@ def test_windowed_stream(spark, sf_dir, tmp_path):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = T.drain(T.windowed_counts(stream, ["event_type", "user_id"], "ts"), "windowed", str(tmp_path / "c"))
     assert out.agg(F.sum("c")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from colforest import cli
+
+    (tmp_path / "t.csv").write_text("A,B,C\r\n" + "".join(f"{i % 5},{(i % 5 + i % 2) % 7},{i % 3}\r\n" for i in range(200)), newline="")
+    cli.main(["compress", "--input", str(tmp_path / "t.csv"), "--output", str(tmp_path / "a"), "--mi-mode", "auto", "--profile"])
+    assert "forest" in capsys.readouterr().out
+    cli.main(["restore", "--input", str(tmp_path / "a"), "--output", str(tmp_path / "b")])
+    parts = sorted((tmp_path / "b").glob("part-*"))
+    assert b"".join(p.read_bytes() for p in parts) == (tmp_path / "t.csv").read_bytes()
+    cli.main(["prepare", "--input", str(tmp_path / "t.csv"), "--output", str(tmp_path / "c"), "--has-header"])
+    assert D.scan(spark, str(tmp_path / "c")).count() == 201
+
+
+def test_sweep(spark, tmp_path):
+    from colforest.plans import sweep
+
+    sets = {"x": Y.from_tree(spark, 300, [(0, 1)], 2, 4), "y": Y.noisy_pair(spark, 300, 3.0)}
+    got = sweep.compare(spark, sets, str(tmp_path / "r"), ["own", "chain", "gzip", "columnar gzip"])
+    assert got.count() == 8 and got.where("size <= 0 or ratio is null").count() == 0
+    assert sweep.compare(spark, sets, str(tmp_path / "r"), ["own", "chain", "gzip", "columnar gzip"]).count() == 8
+    grid = sweep.grid(spark, sets["x"], [1, 5], [64, 256])
+    assert grid.count() == 4
