@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .store import released
+
 #: Pre-tokenizer of the vocabulary, and its white-space class (fixed values, as in the vocabulary file).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words kept per worker; beyond it the cache starts anew. It bounds memory and changes no result.
@@ -197,7 +199,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, ids])
 
     kept = docs.drop(ids)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return kept.mapInArrow(lambda batches: released(run(batches)), T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -210,7 +212,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, out])
 
     kept = encoded.drop(out)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
+    return kept.mapInArrow(lambda batches: released(run(batches)), T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,4 +235,4 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     key_type = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(lambda batches: released(run(batches)), schema)

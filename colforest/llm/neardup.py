@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import stored
+from .store import released, stored
 from .textkit import LOWER, U, buffers, mix, slices, windows, words
 
 SHINGLE, PERCENT = 4, 80
@@ -43,7 +43,7 @@ BANDS, ROWS = 48, 6
 K = BANDS * ROWS
 STREAMS, MANTISSA, MOST_ZEROS, HASH_BITS = 8, 12, 15, 48
 #: Shingles in a block of a cluster, pivots of a large cluster, bytes of a numpy pass.
-BLOCK_SHINGLES, PIVOTS, PASS_BYTES = 200_000, 32, 1 << 20
+BLOCK_SHINGLES, PIVOTS, PASS_BYTES = 200_000, 32, 1 << 18
 _SALT = np.random.default_rng(77).integers(1, 2**63, size=STREAMS + K, dtype=np.uint64)
 _EMPTY = U(2**63)
 
@@ -148,7 +148,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
                     names=["doc_id", "n_shingles", "k1", "k2", "registers"],
                 )
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, registers binary")
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(lambda batches: released(run(batches)), "doc_id long, n_shingles long, k1 long, k2 long, registers binary")
 
 
 def _links(table: pa.Table, percent: int, size: int) -> pa.Table:

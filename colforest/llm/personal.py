@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import released
+
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns of the contract (fixed values); the e-mail pattern is applied around each @.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -428,7 +430,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), text).mapInArrow(lambda batches: released(run(batches)), f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("key", key)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -457,4 +459,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 columns[chars] = n
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), docs.schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 HERE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -47,6 +50,31 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, env.get("PYTHONPATH", "")]))
 
 
+#: Rows and bytes of an Arrow batch on its way to a Python worker, unless the session sets its own: long
+#: texts make a batch of the default 10,000 rows large, on both sides, for each task that runs.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    own = spark.sparkContext.getConf()
+    for k, v in BATCH.items():
+        if not own.contains(k):
+            spark.conf.set(k, v)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``, and at their end the memory that the allocators of this worker still hold: a worker
+    outlives its task, and what one operator needed is not to be kept from the next."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

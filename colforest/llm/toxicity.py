@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import released
 from .textkit import ALNUM, U, buffers, slices, words
 
 #: Labelled documents to train on, at most; terms in the model, at most; size of the term vectors.
@@ -30,7 +31,7 @@ PREFIXES = (4, 5, 6)
 LEAST_DOCS, LEAST_Z = 3, 5.0
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 256, 0.1, 2e-5, 5
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 3, 1
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 
 
 def document_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     # the id list is bounded by ``rows``, whatever the corpus
     chosen = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id").select(F.col("_id").cast("string"), "_text", F.col("_toxic").cast("int"))
-    found = sorted(chosen.mapInArrow(terms, "id string, terms binary, toxic int").collect())
+    found = sorted(chosen.mapInArrow(lambda batches: released(terms(batches)), "id string, terms binary, toxic int").collect())
     return fit([np.frombuffer(r.terms, np.uint32) for r in found], np.array([r.toxic == 1 for r in found], bool))
 
 
@@ -172,7 +173,7 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(held_out(key), F.lit(False)).alias("held_out"), F.col(text))
-    return rows.mapInArrow(run, f"key {kind}, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
+    return rows.mapInArrow(lambda batches: released(run(batches)), f"key {kind}, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -191,4 +192,4 @@ def reject(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
             if s:
                 yield b.filter(pa.array(np.concatenate(s) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), docs.schema)
