@@ -19,7 +19,7 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ class _Chunk:
 
     def __init__(self, table: pa.Table, text: str, size: int, buckets: int):
         block = (size + 1) // 2
-        self.size, self.block, self.buckets = size, block, buckets
+        self.size, self.block, self.buckets, self.reach = size, block, buckets, size - block
         self.runs = list(_word_hashes(table, text))
         probes, marks = [np.zeros(0, U)], [np.zeros(0, bool)]
         self.at, self.extent = [], []
@@ -94,16 +94,19 @@ class _Chunk:
             hit[a:e] = np.unpackbits(np.frombuffer(body, np.uint8), count=e - a).astype(bool)
         return hit
 
+    def hits(self, mail: dict[int, bytes]) -> np.ndarray:
+        """By probe: whether it is an anchor that occurs elsewhere."""
+        distinct, inverse, _, cuts = self._by_bucket(self.probe, 32)
+        return self._answers(len(distinct), cuts, mail)[inverse] if len(distinct) else np.zeros(0, bool)
+
     def candidates(self, mail: dict[int, bytes]) -> None:
         """Windows of the full size that hold an anchor that occurs elsewhere."""
-        distinct, inverse, _, cuts = self._by_bucket(self.probe, 32)
-        hit = self._answers(len(distinct), cuts, mail)[inverse] if len(distinct) else np.zeros(0, bool)
-        reach = self.size - self.block
+        hit = self.hits(mail)
         self.starts, full = [], [np.zeros(0, U)]
         for i, (_, _, h, first) in enumerate(self.runs):
             at = self.at[i][hit[self.cuts[i] : self.cuts[i + 1]]]
             cover = np.zeros(len(h) + 1, np.int32)
-            np.add.at(cover, np.maximum(at - reach, 0), 1)
+            np.add.at(cover, np.maximum(at - self.reach, 0), 1)
             np.add.at(cover, at + 1, -1)
             near = np.cumsum(cover[:-1]) > 0
             start, w = windows(h, first, self.size)
@@ -118,14 +121,20 @@ class _Chunk:
             s = slice(cuts[b], cuts[b + 1])
             yield b, distinct[s].tobytes() + np.packbits(count[s] > 1).tobytes()
 
-    def removed(self, mail: dict[int, bytes]) -> list[tuple[int, np.ndarray]]:
-        """For each run of rows: its first row and, by word, whether a repeated window covers it."""
+    def repeated(self, mail: dict[int, bytes]) -> list[np.ndarray]:
+        """For each run of rows: the first words of windows that occur again."""
         distinct, inverse, _, cuts = self._by_bucket(self.window, 64)
         hit = self._answers(len(distinct), cuts, mail)[inverse] if len(distinct) else np.zeros(0, bool)
         out, done = [], 0
-        for i, (a, _, h, _) in enumerate(self.runs):
-            start = self.starts[i][hit[done : done + len(self.starts[i])]]
-            done += len(self.starts[i])
+        for starts in self.starts:
+            out.append(starts[hit[done : done + len(starts)]])
+            done += len(starts)
+        return out
+
+    def removed(self, mail: dict[int, bytes]) -> list[tuple[int, np.ndarray]]:
+        """For each run of rows: its first row and, by word, whether a repeated window covers it."""
+        out = []
+        for (a, _, h, _), start in zip(self.runs, self.repeated(mail)):
             cover = np.zeros(len(h) + 1, np.int32)
             np.add.at(cover, start, 1)
             np.add.at(cover, start + self.size, -1)
@@ -179,8 +188,9 @@ def _repeats(width: int, with_anchor: bool):
     return answer
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """Per document: key, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
+def exchange(docs: DataFrame, key: str, text: str, make: Callable[[pa.Table, int], _Chunk], answer: Callable[[pa.Table], pa.Table], report: Callable[[_Chunk, pa.Table, dict[int, bytes]], pa.Table], fields: list[T.StructField]) -> DataFrame:
+    """Chunks ask buckets twice: which of their probes, then which of their windows, occur again; ``report``
+    turns a chunk and the last answers into rows."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_chunks = max(1, total // CHUNK_BYTES + 1)
     buckets = max(1, total // 6 // BUCKET_PROBES + 1)
@@ -188,24 +198,35 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("key", F.length("text"), F.lit(3)), F.lit(n_chunks)).cast("int")).repartition(max(1, n_chunks // CHUNKS_PER_TASK), "chunk")
 
     def probes(table: pa.Table) -> pa.Table:
-        return _mail_table(_chunk_id(table), _Chunk(table, "text", size, buckets).probe_mail())
+        return _mail_table(_chunk_id(table), make(table, buckets).probe_mail())
 
     def letters(table: pa.Table, kind: int) -> dict[int, bytes]:
         return {b: x for b, x, k in zip(*(table.column(c).to_pylist() for c in ("bucket", "body", "kind"))) if k == kind}
 
     def extend(rows: pa.Table, mail: pa.Table) -> pa.Table:
-        c = _Chunk(rows, "text", size, buckets)
+        c = make(rows, buckets)
         c.candidates(letters(mail, 1))
         return _mail_table(_chunk_id(rows), c.window_mail())
 
-    def cut(rows: pa.Table, mail: pa.Table) -> pa.Table:
-        keys, texts = rows.column("key"), rows.column("text")
-        if rows.num_rows == 0:
-            return pa.table({f.name: pa.array([], f.type) for f in out_arrow})
-        c = _Chunk(rows, "text", size, buckets)
+    def last(rows: pa.Table, mail: pa.Table) -> pa.Table:
+        c = make(rows, buckets)
         c.candidates(letters(mail, 1))
+        return report(c, rows, letters(mail, 2))
+
+    by_chunk = dealt.groupBy("chunk")
+    hits = by_chunk.applyInArrow(probes, _MAIL).groupBy("bucket").applyInArrow(answer, _MAIL).withColumn("kind", F.lit(1))
+    runs = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(extend, _MAIL)
+    repeats = runs.groupBy("bucket").applyInArrow(_repeats(8, False), _MAIL).withColumn("kind", F.lit(2))
+    return by_chunk.cogroup(hits.unionByName(repeats).groupBy("chunk")).applyInArrow(last, T.StructType(fields)).withColumnRenamed("key", key)
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, keep_text: bool = False) -> DataFrame:
+    """Per document: key, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
+
+    def cut(c: _Chunk, rows: pa.Table, mail: dict[int, bytes]) -> pa.Table:
+        texts = rows.column("text")
         n_words, n_removed, digest, kept = [], [], [], []
-        for (a, b, _, first), (_, gone) in zip(c.runs, c.removed(letters(mail, 2))):
+        for (a, b, _, first), (_, gone) in zip(c.runs, c.removed(mail)):
             for i, t in enumerate(texts.slice(a, b - a).to_pylist()):
                 ws = (t or "").encode("utf-8").split()
                 g = gone[first[i] : first[i + 1]]
@@ -216,19 +237,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 digest.append(hashlib.sha256(body).hexdigest())
                 if keep_text:
                     kept.append(body.decode("utf-8"))
-        out = {"key": keys, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+        out = {"key": rows.column("key"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         if keep_text:
             out["kept_text"] = pa.array(kept, pa.string())
         return pa.table(out)
 
-    key_type = docs.schema[key].dataType
-    fields = [T.StructField("key", key_type), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+    fields = [T.StructField("key", docs.schema[key].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("kept_text", T.StringType())] * keep_text
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out_arrow = list(to_arrow_schema(T.StructType(fields)))
-    by_chunk = dealt.groupBy("chunk")
-    hits = by_chunk.applyInArrow(probes, _MAIL).groupBy("bucket").applyInArrow(_repeats(4, True), _MAIL).withColumn("kind", F.lit(1))
-    runs = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(extend, _MAIL)
-    repeats = runs.groupBy("bucket").applyInArrow(_repeats(8, False), _MAIL).withColumn("kind", F.lit(2))
-    return by_chunk.cogroup(hits.unionByName(repeats).groupBy("chunk")).applyInArrow(cut, T.StructType(fields)).withColumnRenamed("key", key)
+    return exchange(docs, key, text, lambda t, buckets: _Chunk(t, "text", size, buckets), _repeats(4, True), cut, fields)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, archive, bitsliced, bpe, mixture, neardup, personal, spotsigs, toxicity
+from . import anchors, archive, bitsliced, bpe, mixture, neardup, personal, spotsigs, suffixes, toxicity
 from .store import table
 
 
@@ -37,6 +37,10 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,6 +86,14 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.compo
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM t) WHERE c > 1),
+g AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM r) GROUP BY doc_id, island)
+SELECT doc_id, (a - 1)::BIGINT AS start_word, (b - 1)::BIGINT AS end_word, (b - a)::BIGINT AS n_words, sha256(array_to_string(ws[a:b - 1], ' ')) AS span_sha256 FROM g JOIN w USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
@@ -100,8 +112,8 @@ FROM pages p JOIN (SELECT coalesce(html, '') AS body, min(page_id) AS first_id F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_anchors, op2_personal, op3_neardup, op4_mixture, op6_toxicity, op7_bitsliced, op8_archive, op9_bpe, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_anchors, op2_personal, op3_neardup, op4_mixture, op5_suffixes, op6_toxicity, op7_bitsliced, op8_archive, op9_bpe, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_anchors": OP1_SQL, "op3_neardup": OP3_SQL, "op7_bitsliced": OP7_SQL, "op8_archive": OP8_SQL}
+    return {"op1_anchors": OP1_SQL, "op3_neardup": OP3_SQL, "op5_suffixes": OP5_SQL, "op7_bitsliced": OP7_SQL, "op8_archive": OP8_SQL}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colforest.llm import anchors, archive, bitsliced, bpe, components, mixture, neardup, personal, registry, spotsigs, toxicity
+from colforest.llm import anchors, archive, bitsliced, bpe, components, mixture, neardup, personal, registry, spotsigs, suffixes, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -298,6 +298,38 @@ def test_targets():
     assert mixture.targets([0, 0], [5, 2]) == [0, 0] and mixture.targets([], []) == []
 
 
+# ---- 5 -----------------------------------------------------------------------------------------------
+
+
+def spans_brute(rows, size):
+    words = [WORD.findall(t or "") for _, t, *_ in rows]
+    seen = Counter(tuple(w[i : i + size]) for w in words for i in range(len(w) - size + 1))
+    out = []
+    for (k, *_), w in zip(rows, words):
+        starts = [i for i in range(len(w) - size + 1) if seen[tuple(w[i : i + size])] > 1]
+        for i, s in enumerate(starts):
+            if i == 0 or starts[i - 1] != s - 1:
+                e = s
+                while e + 1 in starts:
+                    e += 1
+                out.append((k, s, e + size, e + size - s, hashlib.sha256(" ".join(w[s : e + size]).encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size,chunk,probes", [(50, 3 << 20, 1_500_000), (50, 4_000, 300), (70, 2_000, 200)])
+def test_suffixes(docs, rows, monkeypatch, size, chunk, probes):
+    monkeypatch.setattr(anchors, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(anchors, "BUCKET_PROBES", probes)
+    assert sorted(tuple(r) for r in suffixes.repeats(docs, size=size).collect()) == spans_brute(rows, size)
+
+
+def test_suffixes_edges(spark, docs, rows):
+    assert suffixes.repeats(empty(spark)).count() == 0
+    assert sorted(tuple(r) for r in suffixes.repeats(clashing(docs)).collect()) == spans_brute(rows, 50)
+    only = spark.createDataFrame([(1, None), (None, " ".join(map(str, range(60)))), (None, " ".join(map(str, range(60))))], "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_words) for r in suffixes.repeats(only).collect()) == Counter({(None, 60): 2})
+
+
 # ---- 6 -----------------------------------------------------------------------------------------------
 
 
