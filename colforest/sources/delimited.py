@@ -45,12 +45,12 @@ def scan(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool
     if columns is None:
         columns = len(reader.option("inferSchema", False).csv(path).columns)
     names = [f"c{i}" for i in range(columns)]
-    extra = [T.StructField(f"_over{i}", T.StringType()) for i in range(1)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + extra + [T.StructField("_bad", T.StringType())])
-    rows = reader.schema(schema).option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).csv(path)
-    # a row with a cell beyond the last column has a value in the spare one
-    rows = rows.select(*names, F.col("_over0").isNotNull().alias("_long"), F.monotonically_increasing_id().alias("_spot"))
-    rows = rows.where(~F.col("_long")).drop("_long").select(*[F.coalesce(n, F.lit("")).alias(n) for n in names], "_spot")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_bad"]])
+    rows = reader.schema(schema).option("columnNameOfCorruptRecord", "_bad").csv(path)
+    # rows of another length come with their text: those with more cells go
+    cells = F.size(F.split(F.regexp_replace("_bad", '"([^"]|"")*"', "q"), rf"\Q{delimiter}\E"))
+    rows = rows.select(*names, (F.coalesce(cells, F.lit(0)) > columns).alias("_long"), F.monotonically_increasing_id().alias("_spot"))
+    rows = rows.where(~F.col("_long")).select(*[F.coalesce(n, F.lit("")).alias(n) for n in names], "_spot")
     if not row_ids:
         return rows.drop("_spot")
     from .tables import numbered

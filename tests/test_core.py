@@ -158,7 +158,7 @@ def test_model(spark):
 
 def test_text_files(spark, tmp_path):
     path = tmp_path / "t.csv"
-    path.write_bytes(b'h1,h2,h3\r\n1,,3\r\n4,5\r\n6,7,8,9\r\n"a,b","c\r\nd",e\r\n')
+    path.write_bytes(b'h1,h2,h3\r\n1,,3\r\n4,5\r\n6,7,8,9\r\n6,7,8,\r\n"a,b","c\r\nd",e\r\n')
     assert D.line_ending(spark, str(path)) == "\r\n"
     rows = [tuple(r) for r in D.scan(spark, str(path)).orderBy("row_id").select("c0", "c1", "c2").collect()]
     assert [r for r in rows if r[0] != "a,b"] == [("h1", "h2", "h3"), ("1", "", "3"), ("4", "5", "")]
