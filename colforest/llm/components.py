@@ -13,20 +13,30 @@ from pyspark.sql import functions as F
 from .store import stored
 
 
+#: Edges of a node that one task takes; the hub of a larger star is dealt to several.
+HUB_EDGES = 5_000
+
+
 def _hung(pairs: DataFrame) -> DataFrame:
-    """Per node: the smallest of itself and its neighbours; a partial aggregate leaves each task."""
-    return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    """``pairs`` (u, v) with m, the smallest of u and its neighbours.
+
+    A partial aggregate leaves each task.  Hubs are few: at most one for every HUB_EDGES rows, which bounds
+    what is broadcast; their rows are salted, and their minimum goes to every salt."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("low"), F.ceil(F.count("*") / HUB_EDGES).cast("int").alias("parts"))
+    least = least.select("u", F.least("u", "low").alias("m"), "parts")
+    hubs = F.broadcast(least.where("parts > 1").select("u", F.col("parts").alias("_parts")))
+    salted = pairs.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("_parts", F.lit(1))).cast("int").alias("salt"))
+    return salted.join(least.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")), ["u", "salt"])
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_hung(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _hung(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    m = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(m.select("u", F.col("m").alias("v")))
+    hung = _hung(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(hung.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:

@@ -194,8 +194,6 @@ def _links(table: pa.Table, percent: int, size: int) -> pa.Table:
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketch = stored(sketches(docs, key, text, size), "sketches")
     classes = sketch.where("n_shingles > 0 and doc_id is not null")
     reps = classes.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "registers", "n_shingles")).alias("m"))
@@ -214,7 +212,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
     member = stored(member.join(texts, "rep"), "members")
     total = member.agg(F.sum("n")).first()[0] or 0
-    small_tasks = max(1, min(parts * 4, total // BLOCK_SHINGLES + 1) if total < BLOCK_SHINGLES * parts * 4 else total // BLOCK_SHINGLES)
+    small_tasks = total // BLOCK_SHINGLES + 1
     task = F.when(F.col("blocks") == 1, F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(small_tasks)))).otherwise(F.concat_ws("-", "cluster", "block"))
     at_home = member.select(task.alias("task"), "rep", "text", "registers", F.lit(False).alias("visits"), F.lit(True).alias("whole"))
     large = member.where("blocks > 1")

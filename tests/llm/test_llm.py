@@ -228,9 +228,11 @@ def test_registers_estimate():
         assert got == pytest.approx(true, abs=0.12)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [5_000, 7])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB_EDGES", hub)
     rng = random.Random(3)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1_000, 1_060)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1_000, 1_060)] + [(2_000 + i, 2_000) for i in range(80)]
     root = {}
 
     def find(a):
