@@ -1,10 +1,12 @@
 """Operator 4: mixing sources to target weights by Sainte-Laguë apportionment.
 
 The corpus is dealt into shards by a seeded hash of the document.  Within a shard the documents of one
-source form a cell; its words, in seeded order, are cut into blocks of equally many words.  Each shard
-has as many blocks as its share of the targets, and these go to its cells one by one by the highest
-quotient target / (2 k + 1): integer quotas per shard.  A cell with quota q first repeats all its words
-while whole passes last and then takes the leading blocks of its seeded order.
+source form a cell.  A cell aims at its share of the source's target, by words, plus what rounding has
+left over (or taken too much) in the source's cells of the shards before.  Each shard has as many words
+to give as its aims round to, and these go to its cells by the highest quotient aim / (2 k + 1): integer
+quotas per shard, which for every source sum to its target, rounded, at any number of shards.  A cell
+with quota q first repeats all its words while whole passes last and then takes the leading words of its
+seeded order.
 
 Defined results: a null text has size 0 and nothing is taken of it; a null source is a source of its
 own, last in order; equal rows are separate documents; an empty table gives an empty result; columns of
@@ -32,8 +34,6 @@ MOST_REPEATS = 3
 SEED = 11
 #: Words of a shard: what one window or one apportionment task has to hold in order.
 SHARD_WORDS = 1_000_000
-#: At least about so many blocks in the whole corpus, each of at most MOST_BLOCK words.
-BLOCKS, MOST_BLOCK = 1 << 20, 1024
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST_REPEATS) -> list[float]:
@@ -92,7 +92,6 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     order = sorted(per_source, key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
     aims = targets([r.source_size for r in order], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(order))])
     total = sum(r.source_size for r in order)
-    block = max(1, min(MOST_BLOCK, total // BLOCKS))
     n_shards = max(1, math.ceil(total / SHARD_WORDS))
     plan = spark.createDataFrame([(r.source, r.source_size, a, i) for i, (r, a) in enumerate(zip(order, aims))], "p_source string, source_size long, target double, place int")
     dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
@@ -100,11 +99,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(n_shards)))
     cells = dealt.groupBy("shard", "place").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
 
+    # a source's target up to and with a shard, less what is given before it; a task holds one row per shard of a source
+    so_far = F.sum("words").over(Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    due = lambda words: F.when(F.col("source_size") > 0, F.col("target") * words / F.col("source_size")).otherwise(F.lit(0.0))
+    cells = cells.withColumn("so_far", so_far).withColumn("aim", due(F.col("so_far")) - F.floor(due(F.col("so_far") - F.col("words")) + 0.5))
+
     def apportion(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
-        aim = (pdf.target * pdf.words / pdf.source_size.where(pdf.source_size > 0, 1)).tolist()
-        quota = sainte_lague(aim, [MOST_REPEATS * int(w) // block for w in pdf.words], round(sum(aim) / block))
-        return pd.DataFrame({"shard": pdf.shard, "place": pdf.place, "words": pdf.words, "grant": [q * block for q in quota]})
+        aim = pdf.aim.tolist()
+        quota = sainte_lague(aim, [MOST_REPEATS * int(w) for w in pdf.words], sum(math.floor(a + 0.5) for a in aim))
+        return pd.DataFrame({"shard": pdf.shard, "place": pdf.place, "words": pdf.words, "grant": quota})
 
     grants = cells.groupBy("shard").applyInPandas(apportion, "shard long, place int, words long, grant long")
     in_order = Window.partitionBy("shard", "place").orderBy("lot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

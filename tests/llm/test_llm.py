@@ -294,6 +294,20 @@ def test_mixture(spark, docs, rows):
     assert mixture.mix(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("shard_words", [4, 40, 1_000])
+def test_mixture_many_shards(spark, monkeypatch, shard_words):
+    monkeypatch.setattr(mixture, "SHARD_WORDS", shard_words)
+    # spread thin: a small source that is to be repeated, and one that is to be taken in small part
+    source = lambda i: "a" if i % 40 == 0 else "b" if i % 3 else "c"
+    df = spark.createDataFrame([(i, "one two three"[: 3 + 4 * (i % 2)], source(i)) for i in range(1_200)], "doc_id long, text string, source string")
+    taken, aim = Counter(), {}
+    for r in mixture.mix(df).collect():
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        aim[r.source] = r.target
+    assert set(aim) == {"a", "b", "c"} and all(abs(taken[s] - aim[s]) <= 0.5 + 1e-6 for s in aim), (taken, aim)
+
+
 def test_targets():
     assert mixture.targets([10, 10, 10], [5, 2, 1]) == pytest.approx([18.75, 7.5, 3.75])
     assert mixture.targets([1, 100], [5, 2]) == pytest.approx([3, 98])
