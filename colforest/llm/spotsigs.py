@@ -1,7 +1,8 @@
 """Operator 10: document fingerprints by spot signatures, in DataFrame operations only.
 
 A common word is an anchor; it and the content words that follow it, up to CHAIN of them, form a
-signature.  The fingerprint is the sorted set of signature hashes.  Two fingerprints are compared by
+signature; so is every word by itself, at any length of the text, so no text of words is without
+signatures.  The fingerprint is the sorted set of signature hashes.  Two fingerprints are compared by
 Jaccard similarity of the sets; pairs are told apart by set length first, since sets whose lengths differ
 by more than the ratio asked for cannot be that similar, and only the rest are intersected.
 
@@ -28,7 +29,8 @@ ANCHORS = (
 CHAIN = 2
 HEX = 8
 #: Words of so many characters are signatures of their own; in texts below so many characters all words are.
-LONG_WORD, SHORT_TEXT = 9, 300
+#: 1 and 0 are one rule for all texts: a text and its copy cut short are compared by signatures of the same kind.
+LONG_WORD, SHORT_TEXT = 1, 0
 #: Rows of an order bucket, and quantile segments that even out the id range.
 BUCKET_ROWS, SEGMENTS = 5_000, 32
 
@@ -57,9 +59,7 @@ def signatures(text: Column) -> Column:
     anchor = _prefix_tree(sorted(set(ANCHORS))) + "(?= )"
     # a leading space, the anchor, then content words up to the next anchor
     spots = F.regexp_extract_all(words, F.lit(rf" {anchor}(?: (?!{anchor})[^ ]++){{1,{CHAIN}}}"), F.lit(0))
-    # long words stand for themselves, in short texts all words: no text of words is left without signatures
-    alone = F.when(F.length(text) < SHORT_TEXT, F.regexp_extract_all(words, F.lit(" [^ ]++"), F.lit(0))).otherwise(F.regexp_extract_all(words, F.lit(rf" [^ ]{{{LONG_WORD},}}+"), F.lit(0)))
-    found = F.concat(spots, alone)
+    found = F.concat(spots, F.regexp_extract_all(words, F.lit(rf" [^ ]{{{LONG_WORD},}}+"), F.lit(0)))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.substring(F.lpad(F.hex(F.xxhash64(s)), 16, "0"), 1, HEX))))
 
 

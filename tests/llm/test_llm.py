@@ -532,6 +532,18 @@ def test_signatures(spark):
     assert [got[i] for i in range(len(texts))] == [len(signatures_brute(t)) for t in texts]
 
 
+def test_signatures_one_rule(spark):
+    words = "run sun map cup tree rock bird fish wind lake road farm snow rain hill moon star gate lamp fork".split()
+    long = " ".join(words[(7 * i) % 20] + str(i) for i in range(60))
+    long = long[: long.index(" ", 300)]
+    texts = [long, long[: long.rindex(" ", 0, 299)], " ".join(words * 4), " ".join(words[1:] * 4), "!? ..."]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = [set(r.s) for r in df.select("i", spotsigs.signatures(F.col("text")).alias("s")).orderBy("i").collect()]
+    assert got[1] < got[0] and len(got[1]) > 0.8 * len(got[0])  # a copy cut to below 300 characters
+    assert got[2] and got[3] and got[2] != got[3]  # different texts of short words only
+    assert not got[4]
+
+
 def test_spotsigs_edges(spark):
     assert spotsigs.neighbour_report(empty(spark)).count() == 0
     one = spotsigs.neighbour_report(spark.createDataFrame([(5, "the red house")], "doc_id long, text string")).first()
