@@ -476,6 +476,13 @@ def test_bpe(spark, library, rows):
     assert bpe.round_trip(df.limit(0), path).count() == 0
 
 
+def test_bpe_separators(library):
+    texts = [f"a{c}b" for c in "\x1c\x1d\x1e\x1f"] + ["\x1c", " x\x1f\x1e y\tz\x1d\n", "a\x0bb\x0cc"]
+    got = [x.tolist() for x in bpe.Codec(registry.tokenizer_path()).encode(texts)]
+    assert got[0] == [320, 472, 321]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe_small_cache(library, monkeypatch, rows):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
     c = bpe.Codec(registry.tokenizer_path())
