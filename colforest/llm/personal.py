@@ -433,6 +433,17 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(F.col(key).alias("key"), text).mapInArrow(lambda batches: released(run(batches)), f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("key", key)
 
 
+def replaced(text: str, spans: list[Span]) -> str:
+    """``text`` with every span replaced by its kind; of spans that overlap or lie in one another nothing is left."""
+    out, done = [], 0
+    for a, e, k in sorted(spans):
+        if a > done:
+            out.append(text[done:a])
+        out.append(f"<{k}>")
+        done = max(done, e)
+    return "".join(out) + text[done:]
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets, and n_chars (if there) set anew."""
     model = docs.sparkSession.sparkContext.broadcast(train())
@@ -445,12 +456,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             for t in b.column(place).to_pylist():
                 if t and MAY_HOLD.search(t):
                     base = base_spans(t)
-                    end = len(t) + 1
-                    for a, e, k in sorted(base + added_spans(t, base, model.value), reverse=True):
-                        if e <= end:  # base spans of two kinds may overlap; the later one goes first
-                            t, end = f"{t[:a]}<{k}>{t[e:]}", a
-                        else:
-                            t, end = f"{t[:a]}<{k}>{t[end:]}", a
+                    t = replaced(t, base + added_spans(t, base, model.value))
                 texts.append(t)
             columns = list(b.columns)
             columns[place] = pa.array(texts, b.schema.field(place).type)

@@ -142,6 +142,14 @@ def test_personal(spark, tagger):
     assert clean[0].text == "<phone>." and clean[0].n_chars == 8 and clean[1].text is None
 
 
+def test_redact_nested(spark):
+    texts = ["call +1.2.3.4 555 1234 now", "bob.10.0.0.1@corp-name.example.com", "to a@b.example, or c@d.example."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in personal.redact(df).orderBy("doc_id").collect()]
+    assert got == ["call <phone><ip> now", "<email><ip>", "to <email>, or <email>."]
+    assert personal.replaced("abcdefgh", [(1, 5, "x"), (3, 7, "y")]) == "a<x><y>h"
+
+
 def test_tagger_held_out(tagger):
     rng, hit, want, wrong = np.random.default_rng(99), 0, 0, 0
     for _ in range(150):
