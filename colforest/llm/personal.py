@@ -6,8 +6,8 @@ trained in numpy from labelled spans: seeded templates of each kind in filler te
 that are none as counter-examples.  A text is read in overlapping windows; each is decoded by Viterbi, and
 a weighted choice of non-overlapping spans over the whole document reconciles them.
 
-A span needs a digit or an @, so windows without either cannot add one and are not decoded: this skips
-work, never a span.  Added spans must not touch base spans.
+A span needs a digit, an @ or a bracketed "at", so windows without any cannot add one and are not decoded:
+this skips work, never a span.  Added spans must not touch base spans.
 
 Defined results: a null text is the empty text; a text without personal data has counts 0, empty span
 lists and the digest of the empty string; positions are code points, ends exclusive; equal rows get equal
@@ -36,7 +36,10 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-MAY_HOLD = re.compile(r"[0-9@]")
+MAY_HOLD = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]", re.IGNORECASE)
+
+#: What stands for the two marks of an address.
+AT, DOT = re.compile(r"@|[(\[{] ?at ?[)\]}]", re.IGNORECASE), re.compile(r"\.|[(\[{] ?dot ?[)\]}]", re.IGNORECASE)
 
 Span = tuple[int, int, str]
 
@@ -49,6 +52,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def at_most_255(digits: str) -> bool:
+    """Whether a run of digits is at most 255; however long it is, no more than three digits are read as a number."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches: at an @, the run of local characters before it that no earlier match has taken."""
     done, at = 0, text.find("@")
@@ -73,7 +82,7 @@ def base_spans(text: str) -> list[Span]:
     if "@" in text:
         out += [(a, b, "email") for a, b in emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(at_most_255(p) for p in m.group().split(".")):
             out.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -88,8 +97,8 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the network -------------------------------------------------------------------------------------
 
-#: Window and step in characters; hidden and embedding sizes; training steps and batch.
-WINDOW, STEP = 96, 48
+#: Window and step in characters: a span of up to 63 characters, more than any template has, lies inside a window; hidden and embedding sizes; training steps and batch.
+WINDOW, STEP = 128, 64
 HIDDEN, EMBED, STEPS, BATCH, RATE, SEED = 24, 12, 200, 32, 0.012, 3
 #: Log-odds per span over leaving it untagged that an added span needs.
 LEAST_GAIN = 6.0
@@ -143,7 +152,7 @@ class Tagger:
 
     @staticmethod
     def _sig(x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
     def _lstm(self, x: np.ndarray, side: str, keep: list | None) -> np.ndarray:
         """x: (time, batch, embed) in reading order of the side -> hidden states."""
@@ -153,7 +162,8 @@ class Tagger:
         out = np.empty((time, batch, HIDDEN), np.float32)
         for t in range(time):
             z = pre[t] + h @ self.p[f"h{side}"].T
-            i, f, o = self._sig(z[:, :HIDDEN]), self._sig(z[:, HIDDEN : 2 * HIDDEN]), self._sig(z[:, 2 * HIDDEN : 3 * HIDDEN])
+            gates = self._sig(z[:, : 3 * HIDDEN])
+            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             g = np.tanh(z[:, 3 * HIDDEN :])
             before = c
             c = f * c + i * g
@@ -189,17 +199,14 @@ class Tagger:
         z = lse(alpha[-1], 1)
         y = tags.T
         rows = np.arange(batch)
-        gold = sum(e[t, rows, y[t]] for t in range(time)) + sum(go[y[t - 1], y[t]] for t in range(1, time))
+        gold = np.take_along_axis(e, y[:, :, None], axis=2).sum(axis=(0, 2)) + go[y[:-1], y[1:]].sum(axis=0)
         d = np.exp(alpha + beta - z[None, :, None])
-        dgo = np.zeros((n, n))
-        for t in range(1, time):
-            dgo += np.exp(alpha[t - 1][:, :, None] + go[None] + (e[t] + beta[t])[:, None, :] - z[:, None, None]).sum(axis=0)
-            np.add.at(dgo, (y[t - 1], y[t]), -1)
-        for t in range(time):
-            d[t, rows, y[t]] -= 1
+        dgo = np.exp(alpha[:-1, :, :, None] + go + (e + beta)[1:, :, None, :] - z[None, :, None, None]).sum(axis=(0, 1))
+        np.add.at(dgo, (y[:-1], y[1:]), -1)
+        np.subtract.at(d, (np.arange(time)[:, None], rows[None, :], y), 1)
         d = (d / batch).astype(np.float32)
         hid, x = keep["hid"], keep["x"]
-        grad = {"out": np.einsum("tbn,tbh->nh", d, hid), "out_b": d.sum(axis=(0, 1)), "go": (dgo / batch).astype(np.float32)}
+        grad = {"out": np.tensordot(d, hid, ((0, 1), (0, 1))), "out_b": d.sum(axis=(0, 1)), "go": (dgo / batch).astype(np.float32)}
         dhid = d @ self.p["out"]
         dx = np.zeros_like(x)
         for side, part, flip in (("f", slice(0, HIDDEN), 1), ("b", slice(HIDDEN, None), -1)):
@@ -215,8 +222,8 @@ class Tagger:
                 dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g**2)], axis=1)
                 dz_all[t] = dz
                 dh, dc = dz @ wh, dc * f
-            grad[f"x{side}"] = np.einsum("tbz,tbe->ze", dz_all, xs)
-            grad[f"h{side}"] = np.einsum("tbz,tbh->zh", dz_all, h_all)
+            grad[f"x{side}"] = np.tensordot(dz_all, xs, ((0, 1), (0, 1)))
+            grad[f"h{side}"] = np.tensordot(dz_all, h_all, ((0, 1), (0, 1)))
             grad[f"b{side}"] = dz_all.sum(axis=(0, 1))
             dx += (dz_all @ self.p[f"x{side}"])[::flip]
         grad["embed"] = np.zeros_like(self.p["embed"])
@@ -260,11 +267,16 @@ class Tagger:
 # ---- labelled spans ----------------------------------------------------------------------------------
 
 
+_LETTERS = np.array(list("etaoinshrdlucmfwypvbgkjqxzéèüöáñ"))
+_SHARES = np.cumsum(np.linspace(2, 0.2, len(_LETTERS)) / np.linspace(2, 0.2, len(_LETTERS)).sum())
+
+
 def _filler(rng: np.random.Generator, n: int) -> str:
-    letters = "etaoinshrdlucmfwypvbgkjqxzéèüöáñ"
-    p = np.linspace(2, 0.2, len(letters))
-    words = ["".join(rng.choice(list(letters), rng.integers(2, 9), p=p / p.sum())) for _ in range(n)]
-    return " ".join(words)
+    """Some words of letters by their shares."""
+    sizes = rng.integers(2, 9, n)
+    text = "".join(_LETTERS[np.minimum(np.searchsorted(_SHARES, rng.random(int(sizes.sum()))), len(_LETTERS) - 1)].tolist())
+    ends = np.cumsum(sizes).tolist()
+    return " ".join(text[a:b] for a, b in zip([0, *ends], ends))
 
 
 def _digits(rng: np.random.Generator, n: int) -> str:
@@ -279,12 +291,12 @@ def _card(rng: np.random.Generator) -> str:
 
 def sample_span(rng: np.random.Generator, kind: str) -> str:
     """One spelling of a kind."""
-    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9)))
+    word = lambda: "".join(chr(97 + i) for i in rng.integers(0, 26, rng.integers(2, 9)))
     pick = lambda *x: x[rng.integers(len(x))]
     if kind == "email":
         name = pick(f"{word()}.{_digits(rng, 2)}", f"{word()}.{word()}", word(), f"{word()}_{word()}")
         host = pick(f"mail{rng.integers(1, 9)}.example", f"{word()}", f"{word()}-{word()}")
-        return f"{name}{pick('@', '@', ' @ ', '@ ', ' (at) @ ')}{host}{pick('.', '.', ' . ')}{pick('com', 'org', 'net', 'fr', 'de')}"
+        return f"{name}{pick('@', ' @ ', '@ ', ' (at) ', '(at)', ' [at] ', '[at]', ' {at} ')}{host}{pick('.', '.', ' . ', ' (dot) ', '[dot]', ' [dot] ')}{pick('com', 'org', 'net', 'fr', 'de')}"
     if kind == "ip":
         part = [str(rng.integers(0, 256)) for _ in range(4)]
         return pick(".", ".", " . ", "[.]").join(part)
@@ -300,7 +312,7 @@ def sample_none(rng: np.random.Generator) -> str:
     pick = lambda *x: x[rng.integers(len(x))]
     hexa = "".join(rng.choice(list("0123456789abcdef"), int(rng.choice([16, 32, 40]))))
     key = "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16))
-    return pick(f"Version {rng.integers(1, 9)}.{rng.integers(0, 9)}", f"password={hexa[:16]}", f'token = "{hexa}"', key, str(rng.integers(1900, 2030)), f"{rng.integers(1, 999)}", f"{rng.integers(0, 9)}.{_digits(rng, 3)}", f"{_digits(rng, 2)}:{_digits(rng, 2)}", f"{rng.integers(1, 99)}%", f"BY-NC {rng.integers(1, 9)}.0", _digits(rng, int(rng.integers(5, 25))), f"@{_filler(rng, 1)}", f"{_filler(rng, 1)}{_digits(rng, 3)}", f"{_digits(rng, 4)}-{_digits(rng, 2)}-{_digits(rng, 2)}", f"{_filler(rng, 1)} @ {_filler(rng, 1)}")
+    return pick(f"Version {rng.integers(1, 9)}.{rng.integers(0, 9)}", f"password={hexa[:16]}", f'token = "{hexa}"', key, str(rng.integers(1900, 2030)), f"{rng.integers(1, 999)}", f"{rng.integers(0, 9)}.{_digits(rng, 3)}", f"{_digits(rng, 2)}:{_digits(rng, 2)}", f"{rng.integers(1, 99)}%", f"BY-NC {rng.integers(1, 9)}.0", _digits(rng, int(rng.integers(5, 25))), f"@{_filler(rng, 1)}", f"{_filler(rng, 1)}{_digits(rng, 3)}", f"{_digits(rng, 4)}-{_digits(rng, 2)}-{_digits(rng, 2)}", f"{_filler(rng, 1)} @ {_filler(rng, 1)}", f"({_filler(rng, 1)}) {_filler(rng, 1)}.", f"[{_filler(rng, 1)}]")
 
 
 def sample_window(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -351,14 +363,35 @@ def plausible(kind: str, text: str) -> bool:
     """What any spelling of a kind must have."""
     digits = sum(c.isdigit() and c.isascii() for c in text)
     if kind == "email":
-        return "@" in text and "." in text and len(text) >= 6
+        return bool(AT.search(text) and DOT.search(text)) and len(text) >= 6
     if kind == "ip":
-        return len(re.findall(r"\d+", text)) == 4 and all(int(x) <= 255 for x in re.findall(r"[0-9]{1,3}|[0-9]+", text)[:4])
+        return len(re.findall(r"[0-9]+", text)) == 4 and all(map(at_most_255, re.findall(r"[0-9]+", text)))
     if kind == "card":
         return 12 <= digits <= 19 and luhn(re.sub("[^0-9]", "", text))
     return 9 <= digits <= 15
 
 
+def chosen_spans(found: dict[Span, float]) -> list[Span]:
+    """The non-overlapping spans with the greatest sum of gains, over a whole document."""
+    spans = sorted(found, key=lambda s: (s[1], s[0], KINDS.index(s[2])))
+    ends = [s[1] for s in spans]
+    best, choice = [0.0], []
+    for i, s in enumerate(spans):
+        before = bisect.bisect_right(ends, s[0], 0, i)
+        take = best[before] + found[s]
+        choice.append((take > best[-1], before))
+        best.append(max(take, best[-1]))
+    out, i = [], len(spans)
+    while i:
+        take, before = choice[i - 1]
+        if take:
+            out.append(spans[i - 1])
+            i = before
+        else:
+            i -= 1
+    return out[::-1]
+
+
 def added_spans(text: str, base: list[Span], tagger: Tagger) -> list[Span]:
     """Spans that the tagger adds to a text's base spans."""
     n = len(text)
@@ -370,7 +403,7 @@ def added_spans(text: str, base: list[Span], tagger: Tagger) -> list[Span]:
     starts = starts[near]
     ids = classes(text)
     padded = np.concatenate([ids, np.full(WINDOW, 28)])
-    found: dict[tuple[int, int, str], float] = {}
+    found: dict[Span, float] = {}
     for i in range(0, len(starts), 256):
         part = starts[i : i + 256]
         for at, spans in zip(part.tolist(), tagger.decode(np.stack([padded[s : s + WINDOW] for s in part.tolist()]))):
@@ -385,24 +418,7 @@ def added_spans(text: str, base: list[Span], tagger: Tagger) -> list[Span]:
                     whole = (a == 0 or not text[a - 1].isalnum()) and (b == n or not text[b].isalnum())
                     if whole:
                         found[(a, b, kind)] = max(gain, found.get((a, b, kind), 0.0))
-    # the best set of non-overlapping spans over the whole document
-    spans = sorted(found, key=lambda s: (s[1], s[0], KINDS.index(s[2])))
-    ends = [s[1] for s in spans]
-    best, choice = [0.0], []
-    for i, s in enumerate(spans):
-        before = bisect.bisect_right(ends, s[0], 0, i)
-        take = best[before] + found[s]
-        choice.append((take > best[-1], before))
-        best.append(max(take, best[-1]))
-    out, i = [], len(spans)
-    while i:
-        take, before = choice[i - 1]
-        if take:
-            out.append(spans[i - 1])
-            i = before
-        else:
-            i -= 1
-    return out[::-1]
+    return chosen_spans(found)
 
 
 def joined(spans: list[Span]) -> str:
