@@ -179,13 +179,24 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """The worker's codec. It makes no reference cycles, and scanning its caches for some would be half the cost."""
-    gc.disable()
+    """The worker's codec."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
 
 
+def _uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` without cycle collection while they last: coding makes no cycles, and scanning its caches
+    for some would be half the cost.  The worker's later tasks collect again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield from released(batches)
+    finally:
+        if was:
+            gc.enable()
+
+
 def _texts(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, list[str | None]]]:
     column = batch.column(batch.schema.get_field_index(text))
     for at in range(0, batch.num_rows, SLICE_DOCS):
@@ -206,7 +217,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, ids])
 
     kept = docs.drop(ids)
-    return kept.mapInArrow(lambda batches: released(run(batches)), T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return kept.mapInArrow(lambda batches: _uncollected(run(batches)), T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -219,7 +230,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, out])
 
     kept = encoded.drop(out)
-    return kept.mapInArrow(lambda batches: released(run(batches)), T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
+    return kept.mapInArrow(lambda batches: _uncollected(run(batches)), T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,4 +253,4 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     key_type = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select(key, text).mapInArrow(lambda batches: released(run(batches)), schema)
+    return docs.select(key, text).mapInArrow(lambda batches: _uncollected(run(batches)), schema)
