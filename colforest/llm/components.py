@@ -2,7 +2,7 @@
 
 Alternating large-star and small-star rounds: each node's larger neighbours, then its smaller ones, are
 hung on its smallest neighbour, until every component is a star around its smallest node.  Each round is
-written to the shared folder, so lineage stays short and an executor may be lost.
+written to the shared folder, so lineage stays short and an executor may be lost; the round before it goes.
 """
 
 from __future__ import annotations
@@ -10,32 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import drop_stored, stored
 
 
-#: Edges of a node that one task takes; the hub of a larger star is dealt to several.
-HUB_EDGES = 5_000
+#: Edges of a node that one task takes; the hub of a larger star is dealt to several.  Up to so many hubs are broadcast.
+HUB_EDGES, MOST_BROADCAST = 5_000, 50_000
 
 
-def _hung(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (u, v) with m, the smallest of u and its neighbours.
+def _hung(pairs: DataFrame, rows: int) -> DataFrame:
+    """``pairs`` (u, v), about ``rows`` of them, with m, the smallest of u and its neighbours.
 
-    A partial aggregate leaves each task.  Hubs are few: at most one for every HUB_EDGES rows, which bounds
-    what is broadcast; their rows are salted, and their minimum goes to every salt."""
+    A partial aggregate leaves each task.  Hubs' rows are salted, and their minimum goes to every salt.  There is at
+    most one hub for every HUB_EDGES rows; they are broadcast only while that makes no more than MOST_BROADCAST, and
+    joined by a shuffle beyond."""
     least = pairs.groupBy("u").agg(F.min("v").alias("low"), F.ceil(F.count("*") / HUB_EDGES).cast("int").alias("parts"))
     least = least.select("u", F.least("u", "low").alias("m"), "parts")
-    hubs = F.broadcast(least.where("parts > 1").select("u", F.col("parts").alias("_parts")))
+    hubs = least.where("parts > 1").select("u", F.col("parts").alias("_parts"))
+    hubs = F.broadcast(hubs) if rows <= HUB_EDGES * MOST_BROADCAST else hubs
     salted = pairs.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("_parts", F.lit(1))).cast("int").alias("salt"))
     return salted.join(least.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")), ["u", "salt"])
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _hung(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _hung(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    hung = _hung(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+def _small(edges: DataFrame, rows: int) -> DataFrame:
+    hung = _hung(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), rows)
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(hung.select("u", F.col("m").alias("v")))
 
 
@@ -45,7 +47,8 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     mark = F.xxhash64("u", "v") % F.lit(1_000_003)
     state = edges.agg(F.count("*"), F.sum(mark)).first()
     while state[0]:
-        edges = stored(_small(_large(edges)).distinct(), name)
+        before, edges = edges, stored(_small(_large(edges, state[0]), 2 * state[0]).distinct(), name)
+        drop_stored(before)
         new = edges.agg(F.count("*"), F.sum(mark)).first()
         if new == state:
             break

@@ -8,12 +8,14 @@ of a million have full, comparable registers.
 1. Documents with equal sets are one class, represented by its smallest id.
 2. Bands of registers put representatives into buckets; a bucket is a star around its smallest id.
    Components of the stars are clusters: two documents that share any bucket are in one cluster.
-3. Clusters are dealt into blocks of bounded weight.  Within a block, documents whose register estimate,
-   corrected for register collisions, reaches the threshold less five standard errors are verified on
-   their full sets, through an inverted index of the block; only links that join two components are kept.
-   A block of a large cluster also meets the cluster's pivots.
-4. In large clusters, documents outside the cluster's largest component meet every block, in chunks, so
-   that no link between different texts is lost, whatever the size of a group of copies.
+3. Clusters are dealt into blocks of bounded weight, by shingles and by documents.  Within a block, an
+   inverted index of the rarest shingles of each set yields candidates: sets that reach the threshold share
+   one of them.  Candidates not yet connected whose register estimate, corrected for register collisions,
+   reaches the threshold less five standard errors are verified on their full sets; only links that join two
+   components are kept.  A block of a large cluster also meets the cluster's pivots.
+4. In large clusters, the registers of documents outside the cluster's largest component meet those of every
+   block, in chunks; candidates in other components are verified on their texts, so that no link between
+   different texts is lost, whatever the size of a group of copies.
 5. Components of the links give the result.
 
 With 48 bands of 6 registers a pair at similarity 0.8 shares no bucket with probability below 1e-6.
@@ -35,15 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import released, stored
+from .store import drop_stored, released, stored
 from .textkit import LOWER, U, buffers, mix, slices, windows, words
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 48, 6
 K = BANDS * ROWS
 STREAMS, MANTISSA, MOST_ZEROS, HASH_BITS = 8, 12, 15, 48
-#: Shingles in a block of a cluster, pivots of a large cluster, bytes of a numpy pass.
-BLOCK_SHINGLES, PIVOTS, PASS_BYTES = 200_000, 32, 1 << 18
+#: Shingles in a block of a cluster, and how many a document counts as besides its own: a block holds 4,000 documents
+#: at most; pivots of a large cluster, bytes of a numpy pass.
+BLOCK_SHINGLES, DOCUMENT_SHINGLES, PIVOTS, PASS_BYTES = 200_000, 50, 32, 1 << 18
 _SALT = np.random.default_rng(77).integers(1, 2**63, size=STREAMS + K, dtype=np.uint64)
 _EMPTY = U(2**63)
 
@@ -151,45 +154,89 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     return docs.select(F.col(key).cast("long"), text).mapInArrow(lambda batches: released(run(batches)), "doc_id long, n_shingles long, k1 long, k2 long, registers binary")
 
 
+def _limit(percent: int) -> float:
+    """Estimates below this are not looked at: the threshold less five standard errors."""
+    share = percent / 100
+    return share - 5 * math.sqrt(share * (1 - share) / K)
+
+
+def _likely(reg: np.ndarray, lens: np.ndarray, x: int, near: np.ndarray, percent: int) -> np.ndarray:
+    """Of the rows ``near``, those whose length and registers may reach the threshold with row ``x``."""
+    near = near[np.minimum(lens[near], lens[x]) * 100 >= percent * np.maximum(lens[near], lens[x])]
+    return near[estimate(reg[near], lens[near], reg[x], int(lens[x])) >= _limit(percent)] if len(near) else near
+
+
+def _rows_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table.column("rep").to_numpy(), np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(table.num_rows, K)
+
+
+def _pair_table(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([a for a, _ in pairs], pa.int64()), "v": pa.array([b for _, b in pairs], pa.int64())})
+
+
 def _links(table: pa.Table, percent: int, size: int) -> pa.Table:
-    """Links between the block's members, and between them and its visitors, that join components."""
-    role = np.array(table.column("visits").to_pylist(), bool)
-    ids = table.column("rep").to_numpy()
+    """Links within a block that join components."""
+    ids, reg = _rows_of(table)
     n = table.num_rows
     sets: list[np.ndarray] = [None] * n  # type: ignore[list-item]
     for a, values, cuts in shingle_sets(table.column("text"), size):
         for i in range(len(cuts) - 1):
             sets[a + i] = values[cuts[i] : cuts[i + 1]]
     lens = np.array([len(s) for s in sets])
-    reg = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(n, K)
-    inside = np.flatnonzero(~role)
-    every = np.concatenate([sets[i] for i in inside]) if len(inside) else np.zeros(0, U)
-    owner = np.repeat(np.arange(len(inside)), lens[inside])
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    member_reg, member_len = reg[inside], lens[inside]
+    # shingles by how rare they are in the block: two sets that reach the threshold share one of the first
+    # n - ceil(n * percent / 100) + 1 of each in that order
+    every, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(every), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(every))
+    codes = np.split(rank[code], np.cumsum(lens)[:-1])
+    heads = [np.sort(c)[: len(c) - -(-len(c) * percent // 100) + 1] for c in codes]
+    flat, owner = np.concatenate(heads), np.repeat(np.arange(n), [len(h) for h in heads])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
     label = np.arange(n)
-    limit = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / K)
-    whole = bool(table.column("whole")[0].as_py())
     pairs: list[tuple[int, int]] = []
-    for x in range(n) if whole else np.flatnonzero(role).tolist():
-        likely = (label[inside] != label[x]) & (member_len > 0) & (np.minimum(member_len, lens[x]) * 100 >= percent * np.maximum(member_len, lens[x]))
-        near = np.flatnonzero(likely)
-        if not len(near) or not lens[x]:
-            continue
-        near = near[estimate(member_reg[near], member_len[near], reg[x], int(lens[x])) >= limit]
-        if not len(near):
-            continue
-        lo, hi = np.searchsorted(every, sets[x], "left"), np.searchsorted(every, sets[x], "right")
+    for x in range(n):
+        lo, hi = np.searchsorted(flat, heads[x], "left"), np.searchsorted(flat, heads[x], "right")
         run = hi - lo
-        flat = np.repeat(lo - np.concatenate([[0], np.cumsum(run)[:-1]]), run) + np.arange(run.sum())
-        common = np.bincount(owner[flat], minlength=len(inside))[near]
-        linked = near[100 * common >= percent * (lens[x] + member_len[near] - common)]
-        for y in inside[linked].tolist():
-            if label[y] != label[x]:
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(run)[:-1]]), run) + np.arange(run.sum())
+        near = owner[at]
+        near = np.unique(near[label[near] != label[x]])
+        for y in _likely(reg, lens, x, near, percent).tolist():
+            if label[y] == label[x]:
+                continue
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * common >= percent * (lens[x] + lens[y] - common):
                 pairs.append((int(ids[x]), int(ids[y])))
                 label[label == label[y]] = label[x]
-    return pa.table({"u": pa.array([a for a, _ in pairs], pa.int64()), "v": pa.array([b for _, b in pairs], pa.int64())})
+    return _pair_table(pairs)
+
+
+def _visits(table: pa.Table, percent: int) -> pa.Table:
+    """Candidates among a block's members for its visitors, in components other than theirs."""
+    ids, reg = _rows_of(table)
+    visits = np.array(table.column("visits").to_pylist(), bool)
+    lens, root = table.column("n").to_numpy(), table.column("root").to_numpy()
+    hosts = np.flatnonzero(~visits)
+    pairs = []
+    for x in np.flatnonzero(visits).tolist():
+        pairs += [(int(ids[x]), int(ids[y])) for y in _likely(reg, lens, x, hosts[root[hosts] != root[x]], percent).tolist()]
+    return _pair_table(pairs)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """The ``pairs`` (u, v) whose full sets reach the threshold; ``texts`` is (rep, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            both = [[values[cuts[i] : cuts[i + 1]] for _, values, cuts in shingle_sets(b.column(c), size) for i in range(len(cuts) - 1)] for c in (2, 3)]
+            for i, (x, y) in enumerate(zip(*both)):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield b.select([0, 1]).filter(pa.array(keep))
+
+    rows = pairs.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("rep").alias("v"), F.col("text").alias("tv")), "v")
+    return rows.select("u", "v", "tu", "tv").mapInArrow(lambda batches: released(run(batches)), "u long, v long")
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -206,19 +253,19 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     tree = components(stars, "clusters")
     member = tree.select(F.col("v").alias("cluster"), F.col("u").alias("rep")).union(tree.select(F.col("v").alias("cluster"), F.col("v").alias("rep")).distinct())
     member = member.join(reps.select("rep", "registers", "n"), "rep")
-    weight = member.groupBy("cluster").agg(F.sum("n").alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK_SHINGLES).cast("int"))
+    weight = member.groupBy("cluster").agg(F.sum(F.col("n") + DOCUMENT_SHINGLES).alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK_SHINGLES).cast("int"))
     member = member.join(weight.select("cluster", "blocks", "w"), "cluster")
     member = member.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
     member = stored(member.join(texts, "rep"), "members")
-    total = member.agg(F.sum("n")).first()[0] or 0
+    total = member.agg(F.sum(F.col("n") + DOCUMENT_SHINGLES)).first()[0] or 0
     small_tasks = total // BLOCK_SHINGLES + 1
     task = F.when(F.col("blocks") == 1, F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(small_tasks)))).otherwise(F.concat_ws("-", "cluster", "block"))
-    at_home = member.select(task.alias("task"), "rep", "text", "registers", F.lit(False).alias("visits"), F.lit(True).alias("whole"))
+    at_home = member.select(task.alias("task"), "rep", "text", "registers")
     large = member.where("blocks > 1")
     rank = Window.partitionBy("cluster", "block").orderBy(F.xxhash64("rep", F.lit(5)))
     pivots = large.where("block = 0").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PIVOTS)
-    guests = pivots.withColumn("to", F.explode(F.expr("sequence(1, blocks - 1)"))).select(F.concat_ws("-", "cluster", "to").alias("task"), "rep", "text", "registers", F.lit(True).alias("visits"), F.lit(True).alias("whole"))
+    guests = pivots.withColumn("to", F.explode(F.expr("sequence(1, blocks - 1)"))).select(F.concat_ws("-", "cluster", "to").alias("task"), "rep", "text", "registers")
     pair_type = "u long, v long"
 
     def links(t: pa.Table) -> pa.Table:
@@ -228,26 +275,30 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # what stands outside the largest component of a large cluster meets every block of it
     big = large.select("cluster", "rep", "blocks", "n")
     if big.limit(1).count():
-        root = components(first.join(big.select(F.col("rep").alias("u")).distinct(), "u", "left_semi"), "inner")
-        placed = big.join(root.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        inner = components(first.join(big.select(F.col("rep").alias("u")).distinct(), "u", "left_semi"), "inner")
+        placed = big.join(inner.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         sizes = placed.groupBy("cluster", "root").agg(F.count("*").alias("c"))
         main = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
         outside = placed.join(main, "cluster").where("root <> main").select("cluster", "rep", "n")
-        chunks = outside.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("chunks"))
+        chunks = outside.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") + DOCUMENT_SHINGLES) / BLOCK_SHINGLES).cast("int").alias("chunks"))
         outside = outside.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("chunks")).cast("int"))
-        visitors = large.join(outside.select("rep", "chunk"), "rep").withColumn("to", F.explode(F.expr("sequence(0, blocks - 1)")))
-        visitors = visitors.select(F.concat_ws("-", "cluster", "to", "chunk").alias("task"), "rep", "text", "registers", F.lit(True).alias("visits"), F.lit(False).alias("whole"))
-        hosts = large.join(chunks, "cluster").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
-        hosts = hosts.select(F.concat_ws("-", "cluster", "block", "chunk").alias("task"), "rep", "text", "registers", F.lit(False).alias("visits"), F.lit(False).alias("whole"))
-        first = first.union(stored(hosts.unionByName(visitors).groupBy("task").applyInArrow(links, pair_type), "links"))
+        placed = large.select("cluster", "rep", "block", "blocks", "n", "registers").join(placed.select("rep", "root"), "rep")
+        visitors = placed.join(outside.select("rep", "chunk"), "rep").withColumn("to", F.explode(F.expr("sequence(0, blocks - 1)")))
+        visitors = visitors.select(F.concat_ws("-", "cluster", "to", "chunk").alias("task"), "rep", "root", "n", "registers", F.lit(True).alias("visits"))
+        hosts = placed.join(chunks, "cluster").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
+        hosts = hosts.select(F.concat_ws("-", "cluster", "block", "chunk").alias("task"), "rep", "root", "n", "registers", F.lit(False).alias("visits"))
+        met = hosts.unionByName(visitors).groupBy("task").applyInArrow(lambda t: _visits(t, percent), pair_type)
+        links_in, first = first, stored(first.union(verified(met.distinct(), large.select("rep", "text"), percent, size)), "links")
+        drop_stored(links_in, inner)
     root = components(first, "components")
+    drop_stored(member, tree, first)
     of_class = reps.select("k1", "k2", "rep").join(root.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows of documents that are not the smallest of their component; all columns stay."""
-    gone = link_components(docs, key, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(stored(gone, "gone"), F.col(key) == F.col("_gone"), "left_anti")
+    gone = link_components(docs, key, text, size, percent).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(stored(gone, "gone"), F.col(key) == F.col("_gone_id"), "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,9 +16,13 @@ HERE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """The session's ``spark.checkpoint.dir``.  Where none is set, a temporary folder in local mode (tests);
+    on a cluster, whose executors would each write to a disk of their own, an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         set_dir = tempfile.mkdtemp(prefix="colforest-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir
@@ -35,12 +40,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/colforest-{name}-{uuid.uuid4().hex}"
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table made by :func:`stored` once nothing lazy reads it."""
-    hadoop = spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop).delete(path, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`stored` once nothing lazy reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if os.path.basename(folder).startswith("colforest-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def importable(spark: SparkSession) -> None:

@@ -27,6 +27,7 @@ BYTE_VALUE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * U(2) + U(1)
 BYTE_VALUE_LOWER = BYTE_VALUE[LOWER]
 _STEP_BYTE = 0x9E3779B97F4A7C15 | 1
 _STEP_WORD = 0xD1342543DE82EF95 | 1
+_STEP_SECOND = 0x2545F4914F6CDD1D | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -132,6 +133,15 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     return at, mix((sums[at + size] - sums[at]) * inverse[at] + U(size))
 
 
+def second_names(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows that begin ``at``, by another polynomial than :func:`windows`: the two together name a
+    window by 128 bits."""
+    power, inverse = powers(_STEP_SECOND, len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(mix(hashes ^ U(0x5851F42D4C957F2D)) * power[: len(hashes)], out=sums[1:])
+    return mix((sums[at + size] - sums[at]) * inverse[at])
+
+
 def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Runs of documents of about ``most`` bytes, one document at least."""
     out, i, n = [], 0, len(offsets) - 1
