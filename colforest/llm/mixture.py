@@ -1,15 +1,15 @@
 """Operator 4: mixing sources to target weights by Sainte-Laguë apportionment.
 
-The corpus is dealt into shards by a seeded hash of the document.  Within a shard the documents of one
-source form a cell.  A cell aims at its share of the source's target, by words, plus what rounding has
-left over (or taken too much) in the source's cells of the shards before.  Each shard has as many words
-to give as its aims round to, and these go to its cells by the highest quotient aim / (2 k + 1): integer
-quotas per shard, which for every source sum to its target, rounded, at any number of shards.  A cell
-with quota q first repeats all its words while whole passes last and then takes the leading words of its
-seeded order.
+The corpus has as many equal-token blocks to give as it has words: a block is one word, at any size of the
+corpus, since a larger one would leave out documents, shards and sources that are smaller than it.  Blocks go
+to the sources by the highest quotients target / (2 k + 1), none above three times its size.  The corpus is
+dealt into shards by a seeded hash of the document; within a shard the documents of one source form a cell.
+A source's blocks go to its cells, again by the highest quotients, of the cell's words: integer quotas per
+shard, which sum to the source's.  A cell with quota q first repeats all its words while whole passes last
+and then takes the leading blocks of its seeded order.
 
 Defined results: a null text has size 0 and nothing is taken of it; a null source is a source of its
-own, last in order; equal rows are separate documents; an empty table gives an empty result; columns of
+own, last in order; equal rows and rows of one id are separate documents; an empty table gives an empty result; columns of
 the input other than the three it reads are not carried.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -56,61 +56,61 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_REPEATS)
     return out
 
 
-def sainte_lague(weights: list[float], caps: list[int], seats: int) -> list[int]:
+def sainte_lague(weights: Sequence[float], caps: Sequence[int], seats: int) -> np.ndarray:
     """Seats by the highest quotients weight / (2 k + 1), ties to the earlier party, none above its cap.
 
-    The seats below a common divisor are found by bisection, the rest go one by one, so the work does
-    not grow with the number of seats."""
-    seats = min(seats, sum(c for w, c in zip(weights, caps) if w > 0))
-    given = lambda d: [min(c, math.floor(w / d + 0.5)) if w > 0 else 0 for w, c in zip(weights, caps)]
+    The seats below a common divisor are found by bisection and the few that are left by sorting the next
+    quotients, so the work does not grow with the number of seats."""
+    w, cap = np.asarray(weights, float), np.asarray(caps, np.int64)
+    cap = np.where(w > 0, np.maximum(cap, 0), 0)
+    out = np.zeros(len(w), np.int64)
+    seats = min(int(seats), int(cap.sum()))
     if seats <= 0:
-        return [0] * len(weights)
-    low, high = 1e-12 * max(weights), 2.0 * max(weights) + 1
+        return out
+    given = lambda d: np.minimum(cap, np.floor(np.minimum(w / d, 2.0**60) + 0.5).astype(np.int64))
+    low, high = 1e-12 * w.max(), 2.0 * w.max() + 1
     for _ in range(200):
         d = (low + high) / 2
-        if sum(given(d)) > seats:
+        if given(d).sum() > seats:
             low = d
         else:
             high = d
-    out = given(high)
-    while sum(out) < seats:
-        i = max((i for i in range(len(out)) if out[i] < caps[i] and weights[i] > 0), key=lambda i: (weights[i] / (2 * out[i] + 1), -i))
-        out[i] += 1
+    out = given(high * (1 + 1e-12))  # a little above the divisor, so that ties are broken by quotients, not by rounding
+    while (left := seats - int(out.sum())) > 0:
+        quotient = np.where(out < cap, w / (2 * out + 1), -1.0)
+        out[np.argsort(-quotient, kind="stable")[: min(left, int((out < cap).sum()))]] += 1
     return out
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, row: str | None = None) -> DataFrame:
     """One row per document: key, source, size, source_size, target, taken, and how it is taken: ``copies``
-    whole passes and the first ``part`` words once more (taken = copies * size + part)."""
+    whole passes and the first ``part`` words once more (taken = copies * size + part).  A column that names
+    rows may be given as ``row``; it is carried as ``row_name``."""
     spark = docs.sparkSession
+    name = F.concat_ws("/", F.lit(seed), F.col(key).cast("string"))
     sized = docs.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(name, text, F.lit("order")).alias("lot"), F.xxhash64(name, text).alias("deal"), *([F.col(row).alias("row_name")] if row else []),
     )
     sized = stored(sized, "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size")).collect()  # one row per source
     order = sorted(per_source, key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
     aims = targets([r.source_size for r in order], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(order))])
     total = sum(r.source_size for r in order)
+    quotas = sainte_lague(aims, [MOST_REPEATS * r.source_size for r in order], total)
     n_shards = max(1, math.ceil(total / SHARD_WORDS))
-    plan = spark.createDataFrame([(r.source, r.source_size, a, i) for i, (r, a) in enumerate(zip(order, aims))], "p_source string, source_size long, target double, place int")
+    plan = spark.createDataFrame([(r.source, r.source_size, a, int(q), i) for i, (r, a, q) in enumerate(zip(order, aims, quotas))], "p_source string, source_size long, target double, quota long, place int")
     dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    dealt = dealt.withColumn("lot", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.lit("order")))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(n_shards)))
-    cells = dealt.groupBy("shard", "place").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
-
-    # a source's target up to and with a shard, less what is given before it; a task holds one row per shard of a source
-    so_far = F.sum("words").over(Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    due = lambda words: F.when(F.col("source_size") > 0, F.col("target") * words / F.col("source_size")).otherwise(F.lit(0.0))
-    cells = cells.withColumn("so_far", so_far).withColumn("aim", due(F.col("so_far")) - F.floor(due(F.col("so_far") - F.col("words")) + 0.5))
+    dealt = dealt.withColumn("shard", F.pmod("deal", F.lit(n_shards))).drop("deal")
+    cells = dealt.groupBy("place", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
 
     def apportion(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        aim = pdf.aim.tolist()
-        quota = sainte_lague(aim, [MOST_REPEATS * int(w) for w in pdf.words], sum(math.floor(a + 0.5) for a in aim))
-        return pd.DataFrame({"shard": pdf.shard, "place": pdf.place, "words": pdf.words, "grant": quota})
+        """All shards of one source, a row for each."""
+        pdf = pdf.sort_values("shard")
+        words = pdf["words"].to_numpy()
+        return pd.DataFrame({"shard": pdf["shard"], "place": pdf["place"], "words": words, "grant": sainte_lague(words, MOST_REPEATS * words, int(pdf["quota"].iloc[0]))})
 
-    grants = cells.groupBy("shard").applyInPandas(apportion, "shard long, place int, words long, grant long")
+    grants = cells.groupBy("place").applyInPandas(apportion, "shard long, place int, words long, grant long")
     in_order = Window.partitionBy("shard", "place").orderBy("lot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("before", F.coalesce(F.sum("size").over(in_order), F.lit(0)))
     whole = F.when(F.col("words") > 0, F.expr("grant div words")).otherwise(F.lit(0))
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         placed.join(grants, ["shard", "place"])
         .withColumn("copies", whole)
         .withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("grant") - F.col("copies") * F.col("words") - F.col("before"))))
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), "copies", "part")
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), "copies", "part", *(["row_name"] if row else []))
     )
 
 
@@ -126,10 +126,15 @@ def materialise(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     """The mixed corpus with the columns of ``docs``: every document as often as the mix repeats it, and
     one more row with the leading words of a document that the last pass takes in part.  Documents
     without words, and those the mix takes nothing of, are left out; a document taken in part keeps its
-    own white space up to the cut."""
-    taken = mix(docs, key, text, source).where("taken > 0").select(F.col("doc_id").alias("_key"), "copies", "part", F.col("size").alias("_size")).dropDuplicates(["_key"])
-    rows = docs.join(taken, docs[key].eqNullSafe(taken["_key"]))
-    rows = rows.withColumn("_part", F.explode(F.expr("if(part > 0, array_append(array_repeat(_size, int(copies)), part), array_repeat(_size, int(copies)))")))
+    own white space up to the cut.  Rows are named before they are mixed, so repeated ids and equal rows are
+    taken each as the mix says; columns of ``docs`` may have any names but those that begin with _mix_."""
+    row, size, part = "_mix_row", "_mix_size", "_mix_part"
+    named = stored(docs.withColumn(row, F.monotonically_increasing_id()), "named")
+    taken = mix(named, key, text, source, row=row).where("taken > 0").select(
+        F.col("row_name").alias(row), F.col("size").alias(size),
+        F.expr("if(part > 0, array_append(array_repeat(size, int(copies)), part), array_repeat(size, int(copies)))").alias(part),
+    )
+    rows = named.join(taken, row).withColumn(part, F.explode(part))
 
     names, word = docs.columns, re.compile(WORD)
     place, chars = names.index(text), names.index("n_chars") if "n_chars" in names else None
@@ -156,4 +161,4 @@ def materialise(docs: DataFrame, key: str = "doc_id", text: str = "text", source
                     columns[chars] = pa.array(lengths, b.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(b.schema)[:-2]))
 
-    return rows.select(*docs.columns, "_part", "_size").mapInArrow(cut, docs.schema)
+    return rows.select(*docs.columns, part, size).mapInArrow(cut, docs.schema)
