@@ -5,13 +5,14 @@ bitmaps: slice b of attribute d has a bit for every row.  For a block of queries
 products are summed in bitmap arithmetic: a query's integer weight adds shifted slices with a ripple
 carry, a negative weight adds complements.  The k-th largest sum is found from the most significant slice
 downward.  Rows whose sum lies within the quantisation error of it are the boundary; only these have
-their exact inner products taken.  Blocks of queries meet blocks of rows, and the best k of each pair of
-blocks are merged.
+their exact inner products taken.  A block of rows makes its slices once and some thousand queries pass
+them, a few hundred at a time; the best k of each pair of blocks are merged.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part; rows
 of a null id take no part; rows are compared with queries of their own length; ties go to the smaller id;
 a query has all candidates if there are fewer than k; every row of the query's id is the query's own, and
-of repeated ids each row is a candidate of others; an empty table gives an empty result.
+of repeated ids each row is a candidate of others, while the query is the least of their vectors, the shortest
+first, then by components; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K, QUERY_EVERY, SCALE = 10, 100, 1024
-#: Rows and queries of a block; bits of a quantised attribute.
-BLOCK_ROWS, BLOCK_QUERIES, BITS = 8_192, 256, 7
+#: Rows and components of a block, queries that meet it in one task and queries that are summed at once; bits of
+#: a quantised attribute.
+BLOCK_ROWS, BLOCK_VALUES, BLOCK_QUERIES, BATCH_QUERIES, BITS = 8_192, 1 << 20, 8_192, 256, 7
 U = np.uint64
 
 
@@ -100,36 +102,41 @@ def at_least(total: np.ndarray, floor: np.ndarray, valid: np.ndarray) -> np.ndar
     return more | same
 
 
-def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int = K, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, score) of the best k rows of each query, exactly; integer attributes."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    low, high = rows.min(axis=0), rows.max(axis=0)
-    step = max(1, int(np.ceil((int((high - low).max(initial=0)) + 1) / 2**bits)))
-    quantised = (rows - low) // step
-    index = slices_of(quantised, bits)
-    words = index.shape[2]
-    # the wider the weights, the deeper the sums: they too are quantised, the error of both is bounded below
-    wide = max(1, int(np.ceil(np.abs(queries).max(initial=0) / 2 ** (bits - 1))))
-    weight = np.sign(queries) * (np.abs(queries) // wide)
-    total = sums(index, weight)
-    # exact = wide * step * (sum over d of weight times quantised) + terms of the query alone + an error in [lo, hi]
-    left, span = queries - wide * weight, (high - low)
-    gap = np.minimum(step - 1, span)[None, :]
-    wq = wide * weight
-    lo = (np.minimum(left, 0) * span[None, :]).sum(axis=1) + (np.minimum(wq, 0) * gap).sum(axis=1)
-    hi = (np.maximum(left, 0) * span[None, :]).sum(axis=1) + (np.maximum(wq, 0) * gap).sum(axis=1)
-    margin = -(-(hi - lo) // (wide * step)) + 1
-    valid = np.zeros((len(queries), words * 64), dtype=np.uint8)
-    valid[:, : len(rows)] = ids[None, :] != query_ids[:, None]
-    valid = np.packbits(valid, axis=1, bitorder="little").view(U)
-    kth = kth_largest(total, valid, k)
-    boundary = np.unpackbits(at_least(total, kth - margin, valid).view(np.uint8), axis=1, bitorder="little")[:, : len(rows)]
-    for q in range(len(queries)):
-        at = np.flatnonzero(boundary[q])
-        exact = rows[at] @ queries[q]
-        best = np.lexsort((ids[at], -exact))[:k]
-        out.append((np.full(len(best), query_ids[q]), ids[at[best]], exact[best]))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), (), ())))  # type: ignore[return-value]
+class Index:
+    """The slices of a block of rows (integer attributes), made once for all queries that pass."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, bits: int = BITS):
+        self.rows, self.ids, self.bits = rows, ids, bits
+        self.low, self.high = rows.min(axis=0), rows.max(axis=0)
+        self.step = max(1, int(np.ceil((int((self.high - self.low).max(initial=0)) + 1) / 2**bits)))
+        self.slices = slices_of((rows - self.low) // self.step, bits)
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int = K) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query id, row id, score) of the best k rows of each query, exactly."""
+        words, step = self.slices.shape[2], self.step
+        # the wider the weights, the deeper the sums: they too are quantised, the error of both is bounded below
+        wide = max(1, int(np.ceil(np.abs(queries).max(initial=0) / 2 ** (self.bits - 1))))
+        weight = np.sign(queries) * (np.abs(queries) // wide)
+        total = sums(self.slices, weight)
+        # exact = wide * step * (sum over d of weight times quantised) + terms of the query alone + an error in [lo, hi]
+        left, span = queries - wide * weight, (self.high - self.low)
+        gap = np.minimum(step - 1, span)[None, :]
+        wq = wide * weight
+        lo = (np.minimum(left, 0) * span[None, :]).sum(axis=1) + (np.minimum(wq, 0) * gap).sum(axis=1)
+        hi = (np.maximum(left, 0) * span[None, :]).sum(axis=1) + (np.maximum(wq, 0) * gap).sum(axis=1)
+        margin = -(-(hi - lo) // (wide * step)) + 1
+        valid = np.zeros((len(queries), words * 64), dtype=np.uint8)
+        valid[:, : len(self.rows)] = self.ids[None, :] != query_ids[:, None]
+        valid = np.packbits(valid, axis=1, bitorder="little").view(U)
+        kth = kth_largest(total, valid, k)
+        boundary = np.unpackbits(at_least(total, kth - margin, valid).view(np.uint8), axis=1, bitorder="little")[:, : len(self.rows)]
+        out = []
+        for q in range(len(queries)):
+            at = np.flatnonzero(boundary[q])
+            exact = self.rows[at] @ queries[q]
+            best = np.lexsort((self.ids[at], -exact))[:k]
+            out.append((np.full(len(best), query_ids[q]), self.ids[at[best]], exact[best]))
+        return out
 
 
 def fixed_point(vectors: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
@@ -144,22 +151,24 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     from .store import stored
 
     rows = stored(fixed_point(vectors, key, vector).withColumn("size", F.size("x")), "vectors")
-    counts = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    row_blocks = max(1, -(-counts[0] // BLOCK_ROWS))
+    counts = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.sum("size")).first()
+    row_blocks = max(1, -(-counts[0] // BLOCK_ROWS), -(-(counts[2] or 0) // BLOCK_VALUES))
     query_blocks = max(1, -(-counts[1] // BLOCK_QUERIES))
-    block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id() if seed == 1 else F.lit(0)), F.lit(n)).cast("int")
-    stock = rows.withColumn("r", block(row_blocks, 1)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "x", "size").dropDuplicates(["vec_id", "size"])
-    asked = asked.withColumn("q", block(query_blocks, 0)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    block = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    stock = rows.withColumn("r", block(row_blocks, "vec_id", "x")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("size", "x")).alias("m")).select("vec_id", "m.size", "m.x")
+    asked = asked.withColumn("q", block(query_blocks, "vec_id")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
 
     def pair(stock: pa.Table, asked: pa.Table) -> pa.Table:
-        none = np.zeros(0, np.int64)
-        found = (none, none, none)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
         if stock.num_rows and asked.num_rows:
             dims = stock.column("size")[0].as_py()
             flat = lambda t: np.asarray(t.column("x").combine_chunks().flatten(), dtype=np.int64).reshape(-1, dims)
-            found = search(flat(stock), stock.column("vec_id").to_numpy(), flat(asked), asked.column("vec_id").to_numpy(), k)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found))))
+            index = Index(flat(stock), stock.column("vec_id").to_numpy())
+            queries, ids = flat(asked), asked.column("vec_id").to_numpy()
+            for at in range(0, len(ids), BATCH_QUERIES):
+                found += index.search(queries[at : at + BATCH_QUERIES], ids[at : at + BATCH_QUERIES], k)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(np.concatenate(x)) for x in zip(*found)))))
 
     keys = ["r", "q", "size"]
     best = stock.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(pair, "query_id long, vec_id long, score long")
