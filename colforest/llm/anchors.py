@@ -9,7 +9,9 @@ maximal exact repeats, and their words are removed.
 How it runs: documents are dealt once, by a hash of their row, into chunks of a few MB of text.  A chunk
 sends to each hash bucket its distinct probe hashes, packed in one array, and so one value however often
 a passage occurs in it.  A bucket answers with one bit for each.  No pair of occurrences is ever formed.
-The number of chunks and of buckets follows the size of the corpus, so neither grows in size.
+The number of chunks and of buckets follows the size of the corpus, so neither grows in size; a chunk has at
+most one message for each bucket and no more messages than distinct probes.  A probe's 32 bits beside its
+bucket only choose windows to compare; windows are equal if two independent 64-bit hashes of them are.
 
 Defined results: a null or empty text has no words, n_removed 0 and the digest of the empty text; texts
 shorter than the window stay whole; equal rows are separate documents that repeat each other; an empty
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import U, buffers, slices, windows, words
+from .textkit import U, buffers, second_names, slices, windows, words
 
 WINDOW = 35
 #: Bytes of text in a chunk and in one numpy pass, and probes in a bucket, on average.
@@ -64,25 +66,29 @@ class _Chunk:
         self.probe = np.concatenate(probes)
         self.mark = np.concatenate(marks)
 
-    def _by_bucket(self, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct values (the upper ``bits`` of the hash) by bucket, where each occurrence falls, how often, and cuts by bucket."""
-        bucket, rest = (hashes % U(self.buckets)), hashes >> U(64 - bits) if bits < 64 else hashes
-        order = np.argsort((bucket << U(32)) | rest) if bits == 32 else np.lexsort((rest, bucket))
+    def _by_bucket(self, hashes: np.ndarray, rest: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First places of distinct values (``rest``, and ``second`` if there is one) by the bucket of the hash, where
+        each occurrence falls, how often, and cuts by bucket."""
+        bucket = hashes % U(self.buckets)
+        order = np.argsort((bucket << U(32)) | rest, kind="stable") if second is None else np.lexsort((second, rest, bucket))
         bucket, rest = bucket[order], rest[order]
         new = np.ones(len(rest), bool)
         new[1:] = (rest[1:] != rest[:-1]) | (bucket[1:] != bucket[:-1])
+        if second is not None:
+            second = second[order]
+            new[1:] |= second[1:] != second[:-1]
         rank = np.cumsum(new) - 1
         inverse = np.empty(len(rest), np.int64)
         inverse[order] = rank
         cuts = np.searchsorted(bucket[new], np.arange(self.buckets + 1, dtype=U))
-        return rest[new], inverse, np.bincount(rank, minlength=0), cuts
+        return order[new], inverse, np.bincount(rank, minlength=0), cuts
 
     def probe_mail(self) -> Iterator[tuple[int, bytes]]:
         """For each bucket: distinct probes, which of them occur twice here, and which are anchors."""
-        distinct, inverse, count, cuts = self._by_bucket(self.probe, 32)
+        distinct, inverse, count, cuts = self._by_bucket(self.probe, self.probe >> U(32))
         anchor = np.zeros(len(distinct), bool)
         anchor[inverse[self.mark]] = True
-        low = distinct.astype(np.uint32)
+        low = (self.probe[distinct] >> U(32)).astype(np.uint32)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             s = slice(cuts[b], cuts[b + 1])
             yield b, low[s].tobytes() + np.packbits(count[s] > 1).tobytes() + np.packbits(anchor[s]).tobytes()
@@ -96,13 +102,13 @@ class _Chunk:
 
     def hits(self, mail: dict[int, bytes]) -> np.ndarray:
         """By probe: whether it is an anchor that occurs elsewhere."""
-        distinct, inverse, _, cuts = self._by_bucket(self.probe, 32)
+        distinct, inverse, _, cuts = self._by_bucket(self.probe, self.probe >> U(32))
         return self._answers(len(distinct), cuts, mail)[inverse] if len(distinct) else np.zeros(0, bool)
 
     def candidates(self, mail: dict[int, bytes]) -> None:
         """Windows of the full size that hold an anchor that occurs elsewhere."""
         hit = self.hits(mail)
-        self.starts, full = [], [np.zeros(0, U)]
+        self.starts, full, second = [], [np.zeros(0, U)], [np.zeros(0, U)]
         for i, (_, _, h, first) in enumerate(self.runs):
             at = self.at[i][hit[self.cuts[i] : self.cuts[i + 1]]]
             cover = np.zeros(len(h) + 1, np.int32)
@@ -113,17 +119,20 @@ class _Chunk:
             keep = near[start]
             self.starts.append(start[keep])
             full.append(w[keep])
-        self.window = np.concatenate(full)
+            second.append(second_names(h, start[keep], self.size))
+        self.window, self.second = np.concatenate(full), np.concatenate(second)
 
     def window_mail(self) -> Iterator[tuple[int, bytes]]:
-        distinct, _, count, cuts = self._by_bucket(self.window, 64)
+        """For each bucket: the 128-bit names of distinct windows, and which of them occur twice here."""
+        distinct, _, count, cuts = self._by_bucket(self.window, self.window, self.second)
+        names = np.stack([self.window[distinct], self.second[distinct]], axis=1)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             s = slice(cuts[b], cuts[b + 1])
-            yield b, distinct[s].tobytes() + np.packbits(count[s] > 1).tobytes()
+            yield b, names[s].tobytes() + np.packbits(count[s] > 1).tobytes()
 
     def repeated(self, mail: dict[int, bytes]) -> list[np.ndarray]:
         """For each run of rows: the first words of windows that occur again."""
-        distinct, inverse, _, cuts = self._by_bucket(self.window, 64)
+        distinct, inverse, _, cuts = self._by_bucket(self.window, self.window, self.second)
         hit = self._answers(len(distinct), cuts, mail)[inverse] if len(distinct) else np.zeros(0, bool)
         out, done = [], 0
         for starts in self.starts:
@@ -152,8 +161,10 @@ def _chunk_id(table: pa.Table) -> int:
 
 
 def _repeats(width: int, with_anchor: bool):
-    """A bucket's answer: bit i tells a chunk that its i-th value occurs more than once in the corpus (and is an anchor)."""
+    """A bucket's answer: bit i tells a chunk that its i-th value, of 4 or 16 bytes, occurs more than once in the corpus
+    (and is an anchor)."""
     kind = np.dtype(np.uint32 if width == 4 else np.uint64)
+    parts = width // kind.itemsize
 
     def answer(table: pa.Table) -> pa.Table:
         bodies = table.column("body").to_pylist()
@@ -163,7 +174,7 @@ def _repeats(width: int, with_anchor: bool):
             n = 8 * len(body) // (8 * width + 1 + with_anchor) + 1
             while n * width + (1 + with_anchor) * ((n + 7) // 8) > len(body):
                 n -= 1
-            values.append(np.frombuffer(body, kind, n))
+            values.append(np.frombuffer(body, kind, n * parts).reshape(n, parts))
             bits = np.frombuffer(body, np.uint8, offset=n * width)
             half = (n + 7) // 8
             twice.append(np.unpackbits(bits[:half], count=n).astype(bool))
@@ -171,10 +182,10 @@ def _repeats(width: int, with_anchor: bool):
                 anchor.append(np.unpackbits(bits[half:], count=n).astype(bool))
             sizes.append(n)
         every = np.concatenate(values)
-        order = np.argsort(every, kind="stable")
+        order = np.argsort(every[:, 0], kind="stable") if parts == 1 else np.lexsort((every[:, 1], every[:, 0]))
         s = every[order]
         new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
+        new[1:] = (s[1:] != s[:-1]).any(axis=1)
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         repeated = np.logical_or.reduceat(np.concatenate(twice)[order], first) | (np.diff(np.append(first, len(s))) > 1)
@@ -195,7 +206,7 @@ def exchange(docs: DataFrame, key: str, text: str, make: Callable[[pa.Table, int
     n_chunks = max(1, total // CHUNK_BYTES + 1)
     buckets = max(1, total // 6 // BUCKET_PROBES + 1)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("key", F.length("text"), F.lit(3)), F.lit(n_chunks)).cast("int")).repartition(max(1, n_chunks // CHUNKS_PER_TASK), "chunk")
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("key", "text", F.lit(3)), F.lit(n_chunks)).cast("int")).repartition(max(1, n_chunks // CHUNKS_PER_TASK), "chunk")
 
     def probes(table: pa.Table) -> pa.Table:
         return _mail_table(_chunk_id(table), make(table, buckets).probe_mail())
@@ -216,7 +227,7 @@ def exchange(docs: DataFrame, key: str, text: str, make: Callable[[pa.Table, int
     by_chunk = dealt.groupBy("chunk")
     hits = by_chunk.applyInArrow(probes, _MAIL).groupBy("bucket").applyInArrow(answer, _MAIL).withColumn("kind", F.lit(1))
     runs = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(extend, _MAIL)
-    repeats = runs.groupBy("bucket").applyInArrow(_repeats(8, False), _MAIL).withColumn("kind", F.lit(2))
+    repeats = runs.groupBy("bucket").applyInArrow(_repeats(16, False), _MAIL).withColumn("kind", F.lit(2))
     return by_chunk.cogroup(hits.unionByName(repeats).groupBy("chunk")).applyInArrow(last, T.StructType(fields)).withColumnRenamed("key", key)
 
 
