@@ -1,9 +1,10 @@
 """Operator 6: toxicity by a factorization machine over hashed terms.
 
 Terms are the words of a text and the first bytes of longer words, hashed to 32 bits; a document has
-each term or not.  Training takes a bounded sample of labelled rows, keeps the terms whose presence goes
-with the label, and fits a logistic factorization machine: a weight and a short vector for each term, so
-that a pair of terms can say more than the two do apart.  Scoring is one pass over whole texts.
+each term or not.  Training takes a bounded sample of labelled rows and keeps the terms whose presence goes
+with the label, alone or beside another term: an exclusive-or of two terms keeps both, though neither says
+anything alone.  It fits a logistic factorization machine: a weight and a short vector for each term, so that
+a pair of terms can say more than the two do apart.  Scoring is one pass over whole texts.
 
 Defined results: a null, empty or wordless text gets the score of no terms; labels of null or of an
 unknown document are not used; several labels of one document count as toxic if any is; with labels of
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 from .store import released
 from .textkit import ALNUM, U, buffers, slices, words
 
-#: Labelled documents to train on, at most; terms in the model, at most; size of the term vectors.
-TRAIN_ROWS, MOST_TERMS, FACTORS = 8_000, 8_192, 8
+#: Labelled documents to train on, at most: the only bound, from which that of the terms follows; size of the term vectors.
+TRAIN_ROWS, FACTORS = 8_000, 8
 #: Lengths in bytes of the word beginnings that are terms.
 PREFIXES = (4, 5, 6)
-LEAST_DOCS, LEAST_Z = 3, 5.0
+#: Evidence that a term goes with the label (standard errors): alone, with so many documents that have it, and beside
+#: another, among so many that have both; a pair is looked at if each of its terms is in such a share of the sample.
+LEAST_DOCS, LEAST_Z, LEAST_BOTH, LEAST_PAIR_Z, LEAST_SHARE = 3, 5.0, 20, 7.0, 0.02
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 256, 0.1, 2e-5, 5
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 3, 1
 PASS_BYTES = 1 << 18
@@ -70,11 +73,11 @@ class Machine:
 
     def raw(self, doc: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Scores before the sigmoid, and the sums of vectors, for distinct (document, place) pairs."""
-        s = np.zeros((n, self.vector.shape[1]))
-        np.add.at(s, doc, self.vector[place])
-        squares = np.bincount(doc, weights=(self.vector[place] ** 2).sum(axis=1), minlength=n)
+        v = self.vector[place]
+        sums = np.stack([np.bincount(doc, weights=v[:, f], minlength=n) for f in range(v.shape[1])], axis=1)
+        squares = np.bincount(doc, weights=np.einsum("pf,pf->p", v, v), minlength=n)
         linear = np.bincount(doc, weights=self.weight[place], minlength=n)
-        return self.bias + linear + 0.5 * ((s**2).sum(axis=1) - squares), s
+        return self.bias + linear + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
@@ -86,6 +89,45 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def evidence(bad: np.ndarray, all_bad: np.ndarray | int, has: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """Two-proportion z: toxic shares of the documents that have something and of those that have not."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = all_bad / n
+        z = (bad / has - (all_bad - bad) / (n - has)) / np.sqrt(share * (1 - share) * (1 / has + 1 / (n - has)))
+    return np.nan_to_num(z, posinf=0.0, neginf=0.0)
+
+
+def in_pairs(which: np.ndarray, row: np.ndarray, toxic: np.ndarray, frequent: np.ndarray, block: int = 1024) -> np.ndarray:
+    """For each of the ``frequent`` terms, whether it stands in a pair that says more than its other term does:
+    among the documents that have one term, the other goes with the label.  All pairs are counted, as products
+    of blocks of the matrix of documents and terms."""
+    place = np.full(int(which.max(initial=-1)) + 1, -1)
+    place[frequent] = np.arange(len(frequent))
+    on = place[which] >= 0
+    x = np.zeros((len(toxic), len(frequent)), bool)
+    x[row[on], place[which[on]]] = True
+    found = np.zeros(len(frequent), bool)
+    has, bad = x.sum(axis=0).astype(float), x[toxic].sum(axis=0).astype(float)
+    # a term that matters by itself is kept for that; it makes no pair of every term beside it
+    alone = np.abs(evidence(bad, float(toxic.sum()), has, len(toxic))) >= LEAST_Z
+
+    def beside(given: slice, other: slice, both: np.ndarray, both_bad: np.ndarray) -> None:
+        n, k = has[given, None], bad[given, None]
+        strong = (np.abs(evidence(both_bad, k, both, n)) >= LEAST_PAIR_Z) & (both >= LEAST_BOTH) & (n - both >= LEAST_BOTH) & ~alone[None, other]
+        found[given] |= strong.any(axis=1)
+        found[other] |= strong.any(axis=0)
+
+    parts = [slice(a, a + block) for a in range(0, len(frequent), block)]
+    for i, a in enumerate(parts):
+        left = x[:, a].astype(np.float32)
+        for b in parts[i:]:
+            right = x[:, b].astype(np.float32)
+            both, both_bad = left.T @ right, left[toxic].T @ right[toxic]
+            beside(a, b, both.astype(float), both_bad.astype(float))
+            beside(b, a, both.T.astype(float), both_bad.T.astype(float))
+    return found
+
+
 def fit(sets: list[np.ndarray], toxic: np.ndarray, seed: int = SEED) -> Machine:
     """Fit on distinct terms of each document and its label."""
     n, pos = len(sets), int(toxic.sum())
@@ -93,22 +135,19 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, seed: int = SEED) -> Machine:
     none = Machine(np.zeros(0, np.uint32), float(np.log(base / (1 - base))), np.zeros(0), np.zeros((0, FACTORS)))
     if pos == 0 or pos == n:
         return none
-    count = lambda which: np.unique(np.concatenate([sets[i] for i in which]), return_counts=True)
-    # presence against label: a pooled two-proportion z for each term of either class
-    (tp, cp), (tn, cn) = count(np.flatnonzero(toxic)), count(np.flatnonzero(~toxic))
-    terms = np.union1d(tp, tn)
-    a, b = np.zeros(len(terms)), np.zeros(len(terms))
-    a[np.searchsorted(terms, tp)], b[np.searchsorted(terms, tn)] = cp, cn
-    share = (a + b) / n
-    z = (a / pos - b / (n - pos)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / pos + 1 / (n - pos)))
-    order = np.argsort(-np.abs(z), kind="stable")[:MOST_TERMS]
-    order = order[(np.abs(z[order]) >= LEAST_Z) & ((a + b)[order] >= LEAST_DOCS)]
-    if not len(order):
+    terms, which = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    has, bad = np.bincount(which), np.bincount(which, weights=toxic[row])
+    z = evidence(bad, pos, has, n)
+    keep = (np.abs(z) >= LEAST_Z) & (has >= LEAST_DOCS)
+    frequent = np.flatnonzero(has >= max(LEAST_BOTH, LEAST_SHARE * n))
+    keep[frequent[in_pairs(which, row, toxic, frequent)]] = True
+    if not keep.any():
         return none
     m = none
-    m.terms = np.sort(terms[order])
+    m.terms = terms[keep]
     rng = np.random.default_rng(seed)
-    m.weight, m.vector = np.zeros(len(m.terms)), rng.normal(0, 0.02, (len(m.terms), FACTORS))
+    m.weight, m.vector = np.zeros(len(m.terms)), rng.normal(0, 0.1, (len(m.terms), FACTORS))
     places = [np.searchsorted(m.terms, s[np.isin(s, m.terms)]) for s in sets]
     gw, gv, gb = np.full(len(m.terms), 1e-6), np.full(m.vector.shape, 1e-6), 1e-6
     # both classes pull alike, so that the score is not drawn down by the rarer one's share
@@ -121,16 +160,18 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, seed: int = SEED) -> Machine:
             place = np.concatenate([places[i] for i in rows])
             zed, s = m.raw(doc, place, len(rows))
             g = (1 / (1 + np.exp(-np.clip(zed, -30, 30))) - toxic[rows]) * gain[rows] / len(rows)
-            used, back = np.unique(place, return_inverse=True)
-            dw = np.bincount(back, weights=g[doc], minlength=len(used)) + DECAY * m.weight[used]
-            dv = np.zeros((len(used), FACTORS))
-            np.add.at(dv, back, g[doc, None] * (s[doc] - m.vector[place]))
-            dv += DECAY * m.vector[used]
-            gw[used] += dw**2
-            gv[used] += dv**2
+            per = lambda x: np.bincount(place, weights=x, minlength=len(m.terms))
+            own = g[doc]
+            used = per(np.ones(len(place))) > 0
+            dw = np.where(used, per(own) + DECAY * m.weight, 0.0)
+            # each term's vector is drawn by the sum of the others'
+            dv = np.stack([per(own * s[doc, f]) for f in range(FACTORS)], axis=1) - per(own)[:, None] * m.vector
+            dv = np.where(used[:, None], dv + DECAY * m.vector, 0.0)
+            gw += dw**2
+            gv += dv**2
             gb += g.sum() ** 2
-            m.weight[used] -= RATE * 4 * dw / np.sqrt(gw[used])
-            m.vector[used] -= RATE * dv / np.sqrt(gv[used])
+            m.weight -= RATE * 4 * dw / np.sqrt(gw)
+            m.vector -= RATE * dv / np.sqrt(gv)
             m.bias -= RATE * 4 * g.sum() / np.sqrt(gb)
     return m
 
@@ -162,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, held_out, score, predicted."""
-    model = docs.sparkSession.sparkContext.broadcast(machine)  # at most MOST_TERMS terms
+    model = docs.sparkSession.sparkContext.broadcast(machine)  # its size is bounded by the terms of TRAIN_ROWS documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
