@@ -1,21 +1,28 @@
 """Operator 10: document fingerprints by spot signatures, in DataFrame operations only.
 
-A common word is an anchor; it and the content words that follow it, up to CHAIN of them, form a
-signature; so is every word by itself, at any length of the text, so no text of words is without
-signatures.  The fingerprint is the sorted set of signature hashes.  Two fingerprints are compared by
-Jaccard similarity of the sets; pairs are told apart by set length first, since sets whose lengths differ
-by more than the ratio asked for cannot be that similar, and only the rest are intersected.
-
-``near_duplicates`` is the search built on it: fingerprints are partitioned by set length, candidates
-meet on the rarest part of their sets, and the survivors are compared in full.
-
-Defined results: a null text is the empty text; one without words has the empty fingerprint; two empty fingerprints have likeness 1, an empty and
-another 0; order among rows is by id, then text, null ids last; the last row is followed by the first, a
-single row by itself; equal texts have equal fingerprints; other columns are not read.
+A spot signature is a common word, the anchor, and the chain of content words that follows it, up to CHAIN of
+them.  Where content words go on beyond a chain without an anchor, the end of the chain is the next spot, so
+texts of few common words have signatures too; there is one rule for all texts, and a changed word changes the
+chains up to the next anchor only.  A text of common words alone has its words as its one signature.  The
+fingerprint is the sorted set of signature hashes.
+
+Pairs are partitioned by set length: a set's partition is the power of 1 / LEAST below its length, and sets
+whose partitions are not neighbours, or whose lengths differ by more than the ratio, cannot have likeness LEAST;
+they are never intersected.  A likeness below LEAST counts as 0, whether it was ruled out by length or computed.
+
+``near_duplicates`` is the search over a whole table: classes of equal fingerprints are partitioned by set
+length, candidates meet on the rarest parts of their sets, and the survivors are compared in full.
+
+Defined results: a null text is the empty text; one without words has the empty fingerprint; two empty
+fingerprints have likeness 1, an empty and another 0; order among rows is by id, then a hash of the text, null
+ids last; the last row is followed by the first, a single row by itself; equal texts have equal fingerprints;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +33,12 @@ ANCHORS = (
     "au de du en est et la le les par pour que qui sur un une "
     "como con del el los las no por se su y"
 ).split()
-CHAIN = 2
+CHAIN = 3
 HEX = 8
-#: Words of so many characters are signatures of their own; in texts below so many characters all words are.
-#: 1 and 0 are one rule for all texts: a text and its copy cut short are compared by signatures of the same kind.
-LONG_WORD, SHORT_TEXT = 1, 0
-#: Rows of an order bucket, and quantile segments that even out the id range.
-BUCKET_ROWS, SEGMENTS = 5_000, 32
+#: Likeness that the report tells from 0.
+LEAST = 0.1
+#: Rows of an order bucket, on average; buckets at most (their bounds are constants of the plan), in runs of so many.
+BUCKET_ROWS, MOST_BUCKETS, RUN = 2_000, 16_384, 128
 
 
 def _prefix_tree(words: list[str]) -> str:
@@ -53,67 +59,73 @@ def plain(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]++", " "), F.lit(" "))
 
 
+_ANCHOR = _prefix_tree(sorted(set(ANCHORS))) + "(?= )"
+_SPOT = rf"(?: {_ANCHOR})?+(?: (?!{_ANCHOR})[^ ]++){{1,{CHAIN}}}+"
+
+
 def signatures(text: Column) -> Column:
-    """Distinct signature hashes of a text, sorted."""
+    """Distinct signature hashes of a text, sorted: unsigned 32-bit numbers."""
     words = plain(text)
-    anchor = _prefix_tree(sorted(set(ANCHORS))) + "(?= )"
-    # a leading space, the anchor, then content words up to the next anchor
-    spots = F.regexp_extract_all(words, F.lit(rf" {anchor}(?: (?!{anchor})[^ ]++){{1,{CHAIN}}}"), F.lit(0))
-    found = F.concat(spots, F.regexp_extract_all(words, F.lit(rf" [^ ]{{{LONG_WORD},}}+"), F.lit(0)))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.substring(F.lpad(F.hex(F.xxhash64(s)), 16, "0"), 1, HEX))))
+    spots = F.regexp_extract_all(words, F.lit(_SPOT), F.lit(0))
+    found = F.when((F.size(spots) == 0) & (F.trim(words) != ""), F.array(F.trim(words))).otherwise(spots)
+    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.shiftrightunsigned(F.xxhash64(s), 32))))
+
+
+def printed(sigs: Column) -> Column:
+    """A signature set as text: HEX digits for each."""
+    return F.array_join(F.transform(sigs, lambda s: F.lpad(F.hex(s), HEX, "0")), "")
 
 
 def fingerprint(text: Column) -> Column:
-    return F.array_join(signatures(text), "")
+    return printed(signatures(text))
 
 
-def _set(fp: Column) -> Column:
-    """The signature hashes of a fingerprint."""
-    return F.when(F.length(fp) == 0, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(fp, F.lit(f"[0-9A-F]{{{HEX}}}"), F.lit(0)))
+def partition(size: Column, least: float) -> Column:
+    """The length partition of a set of ``size`` elements: sets of likeness ``least`` lie in the same or neighbouring ones."""
+    return F.when(size > 0, F.floor(F.log(size) / math.log(1 / least) + 1e-9)).otherwise(-1)
 
 
-def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard similarity of two signature sets; 0 without looking if their lengths rule ``least`` out."""
+def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
+    """Jaccard similarity of two signature sets if it is ``least`` or more, else 0; sets whose partitions or lengths
+    rule that out are not intersected."""
     n, m = F.size(a), F.size(b)
+    apart = (F.abs(partition(n, least) - partition(m, least)) > 1) | (F.least(n, m) < least * F.greatest(n, m))
     common = F.size(F.array_intersect(a, b))
-    return (
-        F.when((n == 0) & (m == 0), 1.0)
-        .when((n == 0) | (m == 0) | (F.least(n, m) < least * F.greatest(n, m)), 0.0)
-        .otherwise(common / (n + m - common))
-    )
+    jaccard = common / (n + m - common)
+    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0) | apart, 0.0).otherwise(F.when(jaccard >= least, jaccard).otherwise(0.0))
+
+
+def _bounds(rows: DataFrame) -> list[tuple[int | None, int]]:
+    """The first (doc_id, h) of each bucket, in descending order: rows are range partitioned by their short keys
+    alone, and each part hands over its greatest."""
+    n = rows.count()
+    parts = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
+    keys = rows.select("doc_id", "h").repartitionByRange(parts, F.desc_nulls_last("doc_id"), F.desc("h")).withColumn("part", F.spark_partition_id())
+    tops = keys.groupBy("part").agg(F.max(F.struct("doc_id", "h")).alias("top")).collect()  # MOST_BUCKETS numbers, or as many parts as there are
+    return sorted({(r.top.doc_id, r.top.h) for r in tops}, key=lambda t: (t[0] is not None, t[0] or 0, t[1]), reverse=True)
 
 
 def successors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, next_text): each row with the text of the next one by descending id.
-
-    Rows are dealt into buckets of neighbouring ids; the top row of each bucket is also handed to the
-    bucket above as a guest, so that no window reaches beyond its bucket.  Only one (id, bucket) pair
-    for each bucket, BUCKET_ROWS rows apart, passes through a single task.
-    """
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cuts = base.agg(F.count("*"), F.percentile_approx("doc_id", [i / SEGMENTS for i in range(SEGMENTS + 1)], 10_000)).first()
-    rows, q = cuts[0], sorted(set(cuts[1] or [0]))
-    per = max(1, rows // (BUCKET_ROWS * max(1, len(q) - 1)) + 1)
-    # bucket: segment between two quantiles, then an equal part of its range; 0 is the lowest id's
-    segment = F.lit(0)
-    for i, c in enumerate(q[1:-1], 1):
-        segment = F.when(F.col("doc_id") > c, i).otherwise(segment)
-    lows, highs = F.array(*[F.lit(x) for x in [*q[:-1], q[-1]]]), F.array(*[F.lit(x) for x in [*q[1:], q[-1]]])
-    low, high = F.element_at(lows, segment + 1), F.element_at(highs, segment + 1)
-    inside = F.least(F.lit(per - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") - low).cast("double") / F.greatest(F.lit(1.0), (high - low + 1).cast("double")) * per)))
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise((segment * per + inside).cast("long"))
-    placed = base.withColumn("bucket", bucket)
-    # the buckets that exist, in descending order, and which one hands its top row to which
-    tops = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("top"))
-    order = Window.orderBy(F.desc("bucket"))
-    tops = tops.withColumn("above", F.lag("bucket").over(order)).withColumn("lowest", F.min("bucket").over(Window.partitionBy()))
-    tops = tops.withColumn("to", F.coalesce("above", "lowest")).select("bucket", "to", F.col("top.doc_id").alias("t_id"), F.col("top.h").alias("t_h"))
-    rank = F.xxhash64("text")
-    marked = placed.withColumn("h", rank).join(tops, "bucket", "left")
-    is_top = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h"))
-    guest = F.when(is_top, F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("to").alias("b"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest"))))
-    dealt = marked.withColumn("at", F.explode(guest)).select(F.col("at.b").alias("bucket"), F.col("at.guest").alias("guest"), "doc_id", "h", "text")
-    return dealt.repartition("bucket")
+    """(bucket, guest, doc_id, h, text): rows dealt into buckets of neighbouring ids, descending; the first row of
+    each bucket is also handed to the bucket before as a guest, so that no window reaches beyond its bucket.
+
+    The bounds of the buckets are constants of the plan, so texts are shuffled once, to their bucket.  All rows of
+    one id and one text are in one bucket."""
+    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    tops = _bounds(base)
+    if not tops:
+        return base.select(F.lit(0).alias("bucket"), F.lit(0).alias("guest"), "doc_id", "h", "text")
+    bound = lambda some: F.expr("array(" + ",".join(f"named_struct('doc_id', cast({'null' if i is None else repr(str(i))} as bigint), 'h', cast('{h}' as bigint))" for i, h in some) + ")")
+    own = F.struct("doc_id", "h")
+    before = lambda some: F.size(F.filter(some, lambda t: t >= own))
+    # how many bounds are not below a row: first by runs of them, then within a run
+    bounds, run = bound(tops), before(bound(tops[::RUN])) - 1
+    dealt = base.withColumn("run", run).withColumn("bucket", F.col("run") * RUN + before(F.slice(bounds, F.col("run") * RUN + 1, RUN)) - 1)
+    first = F.element_at(bounds, F.col("bucket") + 1) == own
+    at = lambda bucket, guest: F.struct(bucket.alias("b"), F.lit(guest).alias("guest"))
+    home, away = at(F.col("bucket"), 0), at(F.pmod(F.col("bucket") - 1, F.lit(len(tops))), 1)
+    dealt = dealt.withColumn("at", F.explode(F.when(first, F.array(home, away)).otherwise(F.array(home))))
+    return dealt.select(F.col("at.b").alias("bucket"), F.col("at.guest").alias("guest"), "doc_id", "h", "text").repartition("bucket")
 
 
 def neighbour_window() -> Window:
@@ -134,7 +146,7 @@ def neighbour_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_sigs", signatures(F.col("edited")))
     return rows.select(
         F.col("doc_id").alias(key), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.array_join("sigs", "").alias("fingerprint"), F.array_join("edited_sigs", "").alias("edited_fingerprint"),
+        printed(F.col("sigs")).alias("fingerprint"), printed(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
 
@@ -142,18 +154,19 @@ def neighbour_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs (a, b, likeness) of fingerprint classes, by their smallest ids, whose likeness is ``least`` or more.
 
-    Equal fingerprints are one class, so copies are never paired.  A set's length gives its partitions:
-    sets of likeness t have lengths within a factor t, so with partitions growing by 1 / t they lie in the
-    same or in neighbouring ones.  Within those, sets meet only if they share one of their first
-    (1 - t) n + 1 elements in hash order.
-    """
-    import math
-
+    Equal fingerprints are one class, so copies are never paired.  Sets of likeness t lie in the same or in
+    neighbouring length partitions and share one of the rarest (1 - t) n + 1 elements of each.  Only ids and
+    lengths meet there, and lengths are tested first; the sets follow for the distinct pairs that are left."""
     classes = docs.select(F.col(key).cast("long").alias("id"), signatures(F.coalesce(F.col(text), F.lit(""))).alias("s")).groupBy("s").agg(F.min("id").alias("id")).where(F.size("s") > 0)
-    classes = classes.withColumn("part", F.floor(F.log(F.size("s")) / math.log(1 / least) + 1e-9))
-    prefix = F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * least - 1e-9) + 1).cast("int"))
-    probes = classes.select("id", "s", "part", F.explode(prefix).alias("e"))
-    left = probes.select(F.col("id").alias("a"), F.col("s").alias("sa"), "e", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    right = probes.select(F.col("id").alias("b"), F.col("s").alias("sb"), "e", "part")
-    pairs = left.join(right, ["e", "part"]).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sa", "sb")
-    return pairs.dropDuplicates(["a", "b"]).withColumn("likeness", likeness(F.col("sa"), F.col("sb"), least)).where(F.col("likeness") >= least).select("a", "b", "likeness")
+    elements = classes.select("id", F.size("s").alias("n"), F.explode("s").alias("e"))
+    rarity = elements.groupBy("e").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("id").orderBy("c", "e")
+    probes = elements.join(rarity, "e").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    probes = probes.select("id", "n", "e", partition(F.col("n"), least).alias("part"))
+    left = probes.select(F.col("id").alias("a"), F.col("n").alias("na"), "e", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    right = probes.select(F.col("id").alias("b"), F.col("n").alias("nb"), "e", "part")
+    pairs = left.join(right, ["e", "part"]).where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = lambda c: classes.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
+    both = pairs.join(sets("a"), "a").join(sets("b"), "b").withColumn("likeness", likeness(F.col("sa"), F.col("sb"), least))
+    return both.where(F.col("likeness") >= least).select("a", "b", "likeness")
