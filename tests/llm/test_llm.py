@@ -1,12 +1,14 @@
 """The training-data operators against brute force, round trips and held-out accuracy, and their edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from colforest.llm import anchors, archive, bitsliced, bpe, components, mixture, neardup, personal, registry, spotsigs, suffixes, toxicity
@@ -104,14 +106,14 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 def base_brute(t):
     t = t or ""
     out = [(m.start(), m.end(), "email") for m in EMAIL.finditer(t)]
-    out += [(m.start(), m.end(), "ip") for m in IP.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [(m.start(), m.end(), "ip") for m in IP.finditer(t) if all(float(x) <= 255 for x in m.group().split("."))]
     digits = lambda m: re.sub("[^0-9]", "", m.group())
     out += [(m.start(), m.end(), "card") for m in personal.CARD.finditer(t) if 12 <= len(digits(m)) <= 19 and personal.luhn(digits(m))]
     out += [(m.start(), m.end(), "phone") for m in personal.PHONE.finditer(t) if 9 <= len(digits(m)) <= 15]
     return sorted(out, key=lambda s: (s[0], personal.KINDS.index(s[2])))
 
 
-PRIVATE = ["mail bob.x@a-b.example.com, or @x.y@c.d.e", "é 10.0.0.1 and 1.2.3.400 and 1.2.3.4.5", "4111 1111 1111 1111 4111111111111112", "+1 (988) 555-2485.", "call (988) 555-2485 now", None, "", "a@b", "@" * 50, "1" * 3000, "x" * 5000 + "@y.z"]
+PRIVATE = ["mail bob.x@a-b.example.com, or @x.y@c.d.e", "é 10.0.0.1 and 1.2.3.400 and 1.2.3.4.5", "4111 1111 1111 1111 4111111111111112", "+1 (988) 555-2485.", "call (988) 555-2485 now", None, "", "a@b", "@" * 50, "1" * 3000, "x" * 5000 + "@y.z", "1.2.3." + "0" * 5000, "0" * 5000 + "9.1.2.255", "0" * 6000 + ".0.0.0"]
 
 
 def test_patterns():
@@ -150,6 +152,46 @@ def test_redact_nested(spark):
     assert personal.replaced("abcdefgh", [(1, 5, "x"), (3, 7, "y")]) == "a<x><y>h"
 
 
+def test_redact_zeros(spark):
+    df = spark.createDataFrame([(1, "at 1.2.3." + "0" * 5000 + " now", "en", "s", 3)], DOCS)
+    for t in (df, clashing(df), df.union(df)):
+        assert {r.text for r in personal.redact(t).collect()} == {"at <ip> now"}
+
+
+def test_other_spellings(tagger):
+    for t, want in (("mail me: bob[at]corp-x[dot]org, thanks", "email"), ("call (988) 555-2485 now", "phone")):
+        assert [k for *_, k in personal.added_spans(t, personal.base_spans(t), tagger)] == [want]
+    assert not personal.added_spans("I was (at) home. Then left.", [], tagger)
+
+
+def test_viterbi_and_choice(tagger):
+    """The decoder against all paths of a short window, the choice of spans against all subsets."""
+    ids = personal.classes("+1 5@a")[None, :]
+    e = tagger.emissions(ids).astype(float)[:4, 0]
+    go, first = tagger.p["go"] + tagger.mask, tagger.begin
+    value = lambda y: first[y[0]] + e[0, y[0]] + sum(go[a, b] + e[t + 1, b] for t, (a, b) in enumerate(zip(y, y[1:])))
+    best = max(itertools.product(range(len(personal.TAGS)), repeat=4), key=value)
+    short = personal.Tagger(1)
+    short.p = dict(tagger.p)
+    short.emissions = lambda ids, keep=None: e[:, None, :]
+    spans = short.decode(ids[:, :4])[0]
+    got = [0] * 4
+    for a, b, k, _ in spans:
+        for t in range(a, b):
+            got[t] = personal.TAGS.index(("B-" if t == a else "I-") + k)
+    assert tuple(got) == best
+    rng = random.Random(4)
+    for _ in range(60):
+        found = {}
+        for _ in range(rng.randint(0, 7)):
+            a = rng.randrange(12)
+            found[(a, a + rng.randint(1, 6), rng.choice(personal.KINDS))] = rng.random() * 9 + 0.1
+        apart = lambda c: all(x[1] <= y[0] or y[1] <= x[0] for x, y in itertools.combinations(c, 2))
+        most = max(sum(found[s] for s in c) for n in range(len(found) + 1) for c in itertools.combinations(found, n) if apart(c))
+        chosen = personal.chosen_spans(found)
+        assert apart(chosen) and sum(found[s] for s in chosen) == pytest.approx(most)
+
+
 def test_tagger_held_out(tagger):
     rng, hit, want, wrong = np.random.default_rng(99), 0, 0, 0
     for _ in range(150):
@@ -224,6 +266,49 @@ def test_neardup_edges(spark, docs, rows):
     assert kept == {k for k, _, _, keep in linked_brute(rows) if keep}
 
 
+def planted(seed=8, groups=70):
+    """Texts and edited copies whose similarity is just above the threshold, and some just below."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        base = [f"w{rng.randrange(5_000)}" for _ in range(rng.choice([40, 120, 400]))]
+        rows.append(" ".join(base))
+        for _ in range(2):
+            c = list(base)
+            for at in range(len(c) // rng.choice([40, 44, 48, 60]) + 1):
+                c[rng.randrange(len(c))] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(c))
+    rng.shuffle(rows)
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+def test_neardup_recall(spark):
+    """Pairs at similarity 0.80 to 0.85 are all found, and none below 0.80."""
+    rows = planted()
+    sets = [sets_of(t) for _, t in rows]
+    near = [len(a & b) / len(a | b) for a, b in itertools.combinations(sets, 2) if a & b]
+    assert sum(0.8 <= x <= 0.85 for x in near) >= 20 and sum(0.75 <= x < 0.8 for x in near) >= 10
+    got = sorted(tuple(r) for r in neardup.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == linked_brute(rows)
+
+
+def test_neardup_many_short(spark):
+    """Thousands of short documents in one cluster: blocks are bounded by documents too."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(9)]
+    rows = []
+    for i in range(9_000):
+        c = list(base)
+        c[rng.randrange(2)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(c)))
+    got = neardup.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    # a change of the first word leaves five of six shingles; of the second, four
+    assert len(got) == len(rows) and {r.component_id for r in got} == {r.component_id for r in got if r.kept}
+    brute = linked_brute(rows[:300])
+    few = sorted(tuple(r) for r in neardup.link_components(spark.createDataFrame(rows[:300], "doc_id long, text string")).collect())
+    assert few == brute
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(4)
     for n, share in ((40, 0.9), (400, 0.8), (5_000, 0.5), (1, 1.0)):
@@ -316,6 +401,39 @@ def test_mixture_many_shards(spark, monkeypatch, shard_words):
     assert set(aim) == {"a", "b", "c"} and all(abs(taken[s] - aim[s]) <= 0.5 + 1e-6 for s in aim), (taken, aim)
 
 
+def test_mixture_brute(spark, docs, rows):
+    """Row by row: quotas by the highest quotients, then leading words of the seeded order, from the operator's own
+    lot and shard columns but with plain loops."""
+    got = mixture.mix(docs).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    aim = {s: rs[0].target for s, rs in by.items()}
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    out = {s: 0 for s in names}
+    for _ in range(sum(r.size for r in got)):  # one block after another
+        s = max((s for s in names if out[s] < 3 * by[s][0].source_size and aim[s] > 0), key=lambda s: (aim[s] / (2 * out[s] + 1), -names.index(s)))
+        out[s] += 1
+    assert {s: sum(r.taken for r in rs) for s, rs in by.items()} == out
+    for s, rs in by.items():  # one shard: whole passes over all, then a prefix of the order: at most one document in part
+        copies = {r.copies for r in rs if r.size}
+        assert len(copies) <= 1 and sum(0 < r.part < r.size for r in rs) <= 1
+
+
+def test_mixture_repeats_and_names(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e f g", "s"), (None, "h i", "s"), (None, "j", None), (2, None, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("part", "copies", "size", "_part", "_size", "_key", "row_name", "shard", "lot"):
+        df = df.withColumn(c, F.lit(c))
+    got = mixture.mix(df).collect()
+    assert len(got) == len(rows)
+    out = mixture.materialise(df)
+    assert out.columns == df.columns
+    assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in got) == 13
+    assert {r.part for r in out.collect()} == {"part"}
+    assert mixture.materialise(df.limit(0)).count() == 0
+
+
 def test_targets():
     assert mixture.targets([10, 10, 10], [5, 2, 1]) == pytest.approx([18.75, 7.5, 3.75])
     assert mixture.targets([1, 100], [5, 2]) == pytest.approx([3, 98])
@@ -383,6 +501,47 @@ def test_toxicity(spark):
     assert toxicity.classify(empty(spark), labels).count() == 0
 
 
+def test_machine_learns_exclusive_or():
+    """Neither term says anything alone."""
+    rng = np.random.default_rng(1)
+    sets, y = [], []
+    for _ in range(3_000):
+        a, b = rng.random(2) < 0.5
+        sets.append(np.unique([*rng.integers(100, 200, 5), *([1] if a else []), *([2] if b else [])]).astype(np.uint32))
+        y.append(bool(a != b))
+    m = toxicity.fit(sets, np.array(y))
+    assert set(m.terms) >= {1, 2} and len(m.terms) < 20
+    z, _ = m.raw(np.array([0, 1, 2, 2]), m.find(np.array([1, 2, 1, 2], np.uint32)), 4)
+    assert z[0] > 0 and z[1] > 0 and z[2] < 0 and z[3] < 0
+
+
+def test_machine_scores_brute():
+    """The machine's sums against the plain formula over all pairs."""
+    rng = np.random.default_rng(2)
+    texts = ["alpha beta gamma", "beta beta delta", "", "epsilon"]
+    import pyarrow as pa
+
+    data, offsets = toxicity.buffers(pa.array(texts))
+    doc, terms = toxicity.document_terms(data, offsets)
+    known = np.unique(terms)
+    m = toxicity.Machine(known, -0.3, rng.normal(size=len(known)), rng.normal(size=(len(known), toxicity.FACTORS)))
+    for i, got in enumerate(m.score(data, offsets)):
+        at = np.searchsorted(known, np.unique(terms[doc == i]))
+        z = m.bias + m.weight[at].sum() + sum(m.vector[a] @ m.vector[b] for a, b in itertools.combinations(at, 2))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_rows(spark):
+    """Repeated rows and ids, null ids, columns with the operator's names."""
+    rows = [(i, f"good words {i}" if i % 3 else "zork bad words", "x") for i in range(300)] * 2 + [(None, "zork bad words", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumns({c: F.lit("y") for c in ("held_out", "predicted", "toxic", "key", "_id", "_text")})
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(0, 1), (0, 0)], "doc_id long, toxic int")
+    got = toxicity.classify(df, labels).collect()
+    assert len(got) == len(rows) and all(r.predicted == (r.doc_id is not None and r.doc_id % 3 == 0) for r in got if r.doc_id is not None)
+    kept = toxicity.reject(df, labels)
+    assert kept.columns == df.columns and {r.text for r in kept.collect()} == {t for _, t, _ in rows if not (t or "").startswith("zork")}
+
+
 def test_machine_learns_pairs():
     """Labels that only pairs of terms explain."""
     rng = np.random.default_rng(1)
@@ -423,6 +582,13 @@ def test_bitsliced(spark, monkeypatch, block_rows, block_queries):
     assert sorted(tuple(r) for r in bitsliced.top_k(df).collect()) == top_brute(rows)
 
 
+def test_bitsliced_repeated_queries(spark):
+    rows = [(0, [3.0, 1.0]), (0, [1.0, 9.0]), (0, [1.0, 9.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0])]
+    for n in (1, 3):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(n)
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in bitsliced.top_k(df).collect()) == [(0, 1, 2, 9 << 20), (0, 2, 1, 1 << 20)]
+
+
 def test_bitsliced_edges(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert bitsliced.top_k(none).count() == 0
@@ -516,7 +682,7 @@ def test_spotsigs(docs, rows, monkeypatch, bucket):
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert prints.setdefault(t, r.fingerprint) == r.fingerprint
         cut = lambda f: {f[i : i + 8] for i in range(0, len(f), 8)}
-        jac = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+        jac = lambda a, b: 1.0 if not a and not b else (x if (x := len(a & b) / len(a | b)) >= spotsigs.LEAST else 0.0)
         assert r.near_edited == pytest.approx(jac(cut(r.fingerprint), cut(r.edited_fingerprint)))
         assert r.near_next == pytest.approx(jac(cut(r.fingerprint), cut(got[nk].fingerprint)))
     mean = lambda c: np.mean([getattr(r, c) for r in got.values() if r.n_chars > 100])
@@ -524,27 +690,30 @@ def test_spotsigs(docs, rows, monkeypatch, bucket):
 
 
 def signatures_brute(t):
+    """Chains of up to CHAIN content words, each with the anchor it follows, if it follows one."""
     words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", t.lower())
-    out, i = set(), 0
-    while i < len(words):
-        j = i + 1
-        if words[i] in spotsigs.ANCHORS:
-            while j < len(words) and j <= i + spotsigs.CHAIN and words[j] not in spotsigs.ANCHORS:
-                j += 1
-            if j > i + 1:
-                out.add(" " + " ".join(words[i:j]))
-                i = j
-                continue
-        i += 1
-    least = 1 if len(t) < spotsigs.SHORT_TEXT else spotsigs.LONG_WORD
-    return out | {" " + w for w in words if len(w) >= least}
-
-
-def test_signatures(spark):
-    texts = ["The cat of And the dog, runs; to a house", "", "und der Hund des Mannes läuft", "no anchors whatsoever " * 30, "the the the", "des", "of course the extraordinary circumstances " * 12]
+    chains, open_ = [], False
+    for i, w in enumerate(words):
+        if w in spotsigs.ANCHORS:
+            open_ = False
+        elif open_ and chains[-1][1] < spotsigs.CHAIN:
+            chains[-1] = (f"{chains[-1][0]} {w}", chains[-1][1] + 1)
+        else:
+            anchor = f" {words[i - 1]}" if i and words[i - 1] in spotsigs.ANCHORS else ""
+            chains.append((f"{anchor} {w}", 1))
+            open_ = True
+    found = {c for c, _ in chains} or ({" ".join(words)} if words else set())
+    return {xxhash.xxh64_intdigest(c.encode(), seed=42) >> 32 for c in found}
+
+
+def test_signatures(spark, rows):
+    texts = ["The cat of And the dog, runs; to a house", "", "und der Hund des Mannes läuft", "no anchors whatsoever " * 30, "the the the", "des", "of course the extraordinary circumstances " * 12, "a b c d e f g h the"]
+    texts += [t or "" for _, t, *_ in rows]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = {r.i: r.n for r in df.select("i", F.size(spotsigs.signatures(F.col("text"))).alias("n")).collect()}
-    assert [got[i] for i in range(len(texts))] == [len(signatures_brute(t)) for t in texts]
+    got = {r.i: r for r in df.select("i", spotsigs.signatures(F.col("text")).alias("s"), spotsigs.fingerprint(F.col("text")).alias("p")).collect()}
+    for i, t in enumerate(texts):
+        want = sorted(signatures_brute(t))
+        assert got[i].s == want and got[i].p == "".join(f"{x:08X}" for x in want)
 
 
 def test_signatures_one_rule(spark):
@@ -567,6 +736,19 @@ def test_spotsigs_edges(spark):
     assert spotsigs.neighbour_report(df).count() == 5
 
 
+def test_spotsigs_order(spark, monkeypatch):
+    """Clumped ids, null and repeated ids, columns named like the operator's own: each row meets the next one."""
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(spotsigs, "RUN", 2)
+    ids = [*range(40), *range(10**15, 10**15 + 40), -(2**63), 2**63 - 1, None, 7]
+    texts = [f"{'x' * (3 * (i % 7))}{i} tail" for i in range(len(ids))]
+    df = spark.createDataFrame([(k, t, 1, 2) for k, t in zip(ids, texts)], "doc_id long, text string, bucket int, h int")
+    got = {(r.doc_id, r.n_chars, r.edited_sha256) for r in spotsigs.neighbour_report(df.repartition(4)).collect()}
+    order = sorted(zip(ids, texts), reverse=True, key=lambda r: (r[0] is not None, r[0] or 0, (xxhash.xxh64_intdigest(r[1].encode(), seed=42) + 2**63) % 2**64))
+    want = {(k, len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest()) for (k, t), (_, u) in zip(order, order[1:] + order[:1])}
+    assert got == want and len(want) == len(ids)
+
+
 def test_spotsigs_search(spark, rows):
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     least = 0.7
