@@ -3,6 +3,12 @@
 Every stage takes all rows that the one before it kept, and returns the columns of ``documents``; the
 last returns each row's token count and digests.  Between stages the rows are a Parquet table in the
 shared folder, so a lost executor costs no more than the stage that was running.
+
+Defined results, as the operators define them: a null or empty text is scored as a text of no terms, is no
+near-duplicate, holds no personal data and has no words to mix, so the mixture leaves it out; rows of one id are
+one document to the near-duplicate stage and separate ones to the others; an empty table gives an empty result;
+columns besides those of ``documents`` are carried to the mixture's end, whatever their names (those that begin
+with _mix_ or _gone_ are the stages' own).
 """
 
 from __future__ import annotations
@@ -14,14 +20,18 @@ from colforest.llm.registry import tokenizer_path
 from colforest.llm.store import stored, table
 
 
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE_WORDS = 5
+
+
 def screen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not call toxic."""
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return neardup.keep_one(docs)
+    """One document of each group of near-duplicates, by five words and a similarity of 0.8: the one with the smallest id."""
+    return neardup.keep_one(docs, size=SHINGLE_WORDS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
