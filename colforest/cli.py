@@ -62,7 +62,7 @@ def main(argv: list[str] | None = None) -> None:
         delimited.prepare_file(spark, a.input, a.output, a.has_header)
     elif a.command == "compress":
         timer = Timer()
-        rows = delimited.scan(spark, a.input, a.delimiter, multi_line=not a.single_line)
+        rows = delimited.scan(spark, a.input, a.delimiter, multi_line=False if a.single_line else None)
         learn = {"mode": a.mi_mode, "buckets": a.mi_buckets, "sample": a.mi_sample, "seed": a.mi_seed, "two_phase": a.two_phase}
         segments.write_archive(rows, a.output, key="row_id", forest="chain" if a.use_line_graph else None, rare=a.rare_threshold, stripe=a.stripe, learn=learn, coder=a.coder, timer=timer)
         facts = spark.createDataFrame([("delimiter", json.dumps(delimited.delimiter_of(a.delimiter))), ("ending", json.dumps(delimited.line_ending(spark, a.input)))], "key string, value string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +33,23 @@ def line_ending(spark: SparkSession, path: str) -> str:
     return "\r\n" if b"\r\n" in head(spark, path) else "\n"
 
 
-def scan(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = True, columns: int | None = None, row_ids: bool = True) -> DataFrame:
+def breaks_in_cells(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell may hold a line break: some line has an odd number of quotes.  One pass over all lines,
+    split like any text."""
+    lines = spark.read.text(path)
+    return not lines.where((F.length("value") - F.length(F.translate("value", '"', ""))) % 2 == 1).isEmpty()
+
+
+def scan(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool | None = None, columns: int | None = None, row_ids: bool = True) -> DataFrame:
     """Every line a row of texts c0, c1, ...; a header is a row like any other.
 
     The first row sets the number of columns.  Longer rows are left out, shorter ones are filled with the
-    empty text, empty cells are the empty text.  ``row_id`` counts the rows that stay, in file order.
-    ``multi_line`` allows line breaks in quoted cells, at the price of reading a file in one task."""
+    empty text, empty cells are the empty text.  ``row_id`` counts the rows that stay, in the order of the files'
+    names and within each file.  ``multi_line`` allows line breaks in quoted cells, at the price of reading a file
+    in one task; by default it is on only if some line has an odd number of quotes, so that plain files are split."""
     delimiter = delimiter_of(delimiter)
+    if multi_line is None:
+        multi_line = breaks_in_cells(spark, path)
     reader = spark.read.option("header", False).option("sep", delimiter).option("multiLine", multi_line).option("emptyValue", "").option("nullValue", "\x00none\x00").option("escape", '"')
     if columns is None:
         columns = len(reader.option("inferSchema", False).csv(path).columns)
@@ -49,13 +58,15 @@ def scan(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool
     rows = reader.schema(schema).option("columnNameOfCorruptRecord", "_bad").csv(path)
     # rows of another length come with their text: those with more cells go
     cells = F.size(F.split(F.regexp_replace("_bad", '"([^"]|"")*"', "q"), rf"\Q{delimiter}\E"))
-    rows = rows.select(*names, (F.coalesce(cells, F.lit(0)) > columns).alias("_long"), F.monotonically_increasing_id().alias("_spot"))
-    rows = rows.where(~F.col("_long")).select(*[F.coalesce(n, F.lit("")).alias(n) for n in names], "_spot")
+    # Spark packs files into tasks by size; a row's place is its file, the block of it, and where it came in its task
+    spot = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_spot")]
+    rows = rows.select(*names, (F.coalesce(cells, F.lit(0)) > columns).alias("_long"), *spot)
+    rows = rows.where(~F.col("_long")).select(*[F.coalesce(n, F.lit("")).alias(n) for n in names], "_file", "_block", "_spot")
     if not row_ids:
-        return rows.drop("_spot")
+        return rows.drop("_file", "_block", "_spot")
     from .tables import numbered
 
-    return numbered(rows, ["_spot"]).drop("_spot")
+    return numbered(rows, ["_file", "_block", "_spot"]).drop("_file", "_block", "_spot")
 
 
 def write_text(df: DataFrame, path: str, order: str | None = None, delimiter: str = ",", ending: str = "\n", header: bool = False, one_file: bool = False) -> None:
@@ -96,13 +107,14 @@ def not_done(todo: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     return todo.join(done.select(*on).distinct(), list(on), "left_anti")
 
 
-def find_datasets(folder: str) -> list[str]:
-    """One text file of each subfolder: a sample if there is one, products left out."""
+def find_datasets(spark: SparkSession, folder: str) -> list[str]:
+    """One text file of each subfolder, in any store Spark reads: a sample if there is one, products left out."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
     out = []
-    for name in sorted(os.listdir(folder)):
-        sub = os.path.join(folder, name)
-        if os.path.isdir(sub):
-            files = sorted(f for f in os.listdir(sub) if f.endswith(".csv") and not any(d in f for d in DERIVED))
-            if files:
-                out.append(os.path.join(sub, next((f for f in files if "sample" in f), files[0])))
+    for sub in sorted((s.getPath() for s in store.listStatus(at) if s.isDirectory()), key=lambda p: p.getName()):
+        files = sorted(f.getPath().getName() for f in store.listStatus(sub) if f.isFile())
+        files = [f for f in files if f.endswith(".csv") and not any(d in f for d in DERIVED)]
+        if files:
+            out.append(f"{sub}/{next((f for f in files if 'sample' in f), files[0])}")
     return out

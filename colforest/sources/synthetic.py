@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 
 def _uniform(seed: int, name: str) -> Column:
-    """A number in [0, 1) from the row number: the same on any number of partitions."""
-    return F.pmod(F.xxhash64("row_id", F.lit(seed), F.lit(name)), F.lit(1 << 52)) / float(1 << 52)
+    """A number in [0, 1) from the row number, by a digest that any engine has: the same on any number of partitions."""
+    digest = F.md5(F.concat_ws("|", F.lit(f"{seed}|{name}"), F.col("row_id").cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def _pick(seed: int, name: str, n: int) -> Column:

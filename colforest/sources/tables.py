@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the session's ``spark.checkpoint.dir`` (a temporary folder only where none is set)."""
+    """A new path below the session's ``spark.checkpoint.dir``.  Where none is set: a temporary folder in local
+    mode; an error on a cluster, whose executors would each write to a disk of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="colforest-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder}/colforest-{name}-{uuid.uuid4().hex}"
