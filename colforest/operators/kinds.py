@@ -139,6 +139,25 @@ def sparse_sentinel(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return dominance(df, columns).withColumn("sparse", F.col("share") > SPARSE_SHARE)
 
 
+def sparse_parts(df: DataFrame, key: str, column: str) -> tuple[str | None, DataFrame]:
+    """A sparse column apart: its dominant value, and patches (key, value) for the rows that have another."""
+    from .profile import dominance
+
+    row = dominance(df, [column]).first()
+    mode = row["mode"] if row else None
+    return mode, df.where(text_of(column) != F.lit(mode)).select(key, text_of(column).alias("value"))
+
+
+def sparse_restored(keys: DataFrame, key: str, column: str, mode: str | None, patches: DataFrame) -> DataFrame:
+    """The column again: the dominant value everywhere, but where there is a patch."""
+    return keys.join(patches, key, "left").select(*keys.columns, F.coalesce("value", F.lit(mode)).alias(column))
+
+
+def frequent_values(df: DataFrame, column: str, most: int) -> DataFrame:
+    """(v, c): the ``most`` most frequent values of a column, ties to the smaller text."""
+    return df.groupBy(text_of(column).alias("v")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "v").limit(most)
+
+
 def occurrence_index(df: DataFrame, parent: str, order: str, stripe: Column | None = None) -> DataFrame:
     """``df`` with k: the how-manieth row of its parent value this is, within its stripe."""
     df = df.withColumn("stripe", stripe if stripe is not None else F.lit(0))

@@ -8,6 +8,7 @@ with several, rows are scored where they lie.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,12 +16,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .pairs import sample_rows, text_of
 from .profile import conditional_distribution
 from .ranker import nll_bits, rank_table
 
 LEAST_ROWS, MOST_CLASSES, MOST_PARENTS = 100, 10_000, 8
+#: Values of a parent with an embedding of their own: the most frequent; all others share one.  Rows scored at once.
+MOST_VALUES, SCORED = 4_096, 64
 
 
 @dataclass
@@ -81,14 +85,15 @@ def _gate(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.7978845608 * (z + 0.044715 * z**3)))
 
 
-def fit(parents: Sequence[Sequence[str]], child: Sequence[str], width: int = 16, hidden: Sequence[int] = (64,), epochs: int = 15, batch: int = 2048, rate: float = 0.01, seed: int = 0) -> Net | None:
+def fit(parents: Sequence[Sequence[str]], child: Sequence[str], width: int = 16, hidden: Sequence[int] = (64,), epochs: int = 15, batch: int = 2048, rate: float = 0.01, seed: int = 0, most_values: int = MOST_VALUES) -> Net | None:
     """Train on aligned columns of texts; None with too few rows or too many classes.  The result is quantised."""
     child = np.asarray(child, dtype=object)
     classes = sorted(set(child))
     if len(child) < LEAST_ROWS or len(classes) > MOST_CLASSES or not parents or len(parents) > MOST_PARENTS:
         return None
     rng = np.random.default_rng(seed)
-    values = [sorted(set(p)) for p in parents]
+    # the most frequent values, ties to the smaller text
+    values = [sorted(sorted((c := Counter(p)), key=lambda v: (-c[v], v))[:most_values]) for p in parents]
     if len(parents) > 4:
         width, hidden = max(4, width // 2), tuple(max(8, h // 2) for h in hidden)
     w: dict[str, np.ndarray] = {f"e{k}": rng.normal(0, 0.1, (len(v) + 1, width)) for k, v in enumerate(values)}
@@ -146,11 +151,28 @@ def train(df: DataFrame, parents: Sequence[str], child: str, key: str, max_rows:
     return fit([part[f"p{k}"].tolist() for k in range(len(parents))], part["c"].tolist(), **how)
 
 
+def scores(net: Net, columns: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row -> its combination of parent values, combination -> class numbers from the likeliest down).
+
+    Combinations are scored SCORED at a time, the last ones padded, in double precision and rounded, so an order
+    does not depend on the batch a row came in: what one task codes, another decodes."""
+    ids, row = np.unique(net.ids(columns), axis=0, return_inverse=True)
+    padded = np.concatenate([ids, np.zeros((-len(ids) % SCORED, ids.shape[1]), ids.dtype)])
+    prob = np.concatenate([net.probabilities(padded[a : a + SCORED]) for a in range(0, len(padded), SCORED)])[: len(ids)]
+    return row.ravel(), np.argsort(-np.round(np.log(np.maximum(prob, 1e-30)), 6), axis=1, kind="stable")
+
+
 def model_table(spark: SparkSession, net: Net) -> DataFrame:
-    """(p, c, prob) of a model with one parent."""
-    prob = net.probabilities(np.arange(len(net.parents[0]))[:, None])
-    rows = [(p, c, float(prob[i, j])) for i, p in enumerate(net.parents[0]) for j, c in enumerate(net.children)]
-    return spark.createDataFrame(rows, "p string, c string, prob double")
+    """(p, c, prob) of a model with one parent; the driver sends the parents, tasks make the rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), SCORED):
+                p = b["p"].iloc[at : at + SCORED].to_numpy()
+                prob = net.probabilities(net.ids([p]))
+                yield pd.DataFrame({"p": np.repeat(p, prob.shape[1]), "c": np.tile(np.array(net.children, dtype=object), len(p)), "prob": prob.ravel()})
+
+    return spark.createDataFrame([(p,) for p in net.parents[0]], "p string").mapInPandas(run, "p string, c string, prob double")
 
 
 def model_ranks(spark: SparkSession, net: Net) -> DataFrame:
@@ -159,40 +181,44 @@ def model_ranks(spark: SparkSession, net: Net) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, parents: Sequence[str], child: str, net: Net) -> DataFrame:
-    """``df`` with the rank of its child value under a model of several parents, scored batch by batch."""
-    from pyspark.sql.types import LongType, StructField, StructType
-
+    """``df`` with the rank of its child value under a model of several parents, scored batch by batch.  A value that
+    the model has never seen has the rank beyond all others and stands as itself in ``unseen`` (null otherwise)."""
     rows = df.withColumns({**{f"_p{k}": text_of(p) for k, p in enumerate(parents)}, "_c": text_of(child)})
     names, n = df.columns, len(parents)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = {v: i for i, v in enumerate(net.children)}
         for b in batches:
-            z = net.logits(net.ids([b[f"_p{k}"] for k in range(n)]))
-            y = np.array([place[c] for c in b["_c"]])
-            own = z[np.arange(len(y)), y][:, None]
-            rank = (z > own).sum(axis=1) + ((z == own) & (np.arange(z.shape[1])[None, :] < y[:, None])).sum(axis=1)
-            yield b[names].assign(rank=rank.astype("int64"))
+            if not len(b):
+                continue
+            row, order = scores(net, [b[f"_p{k}"] for k in range(n)])
+            y = b["_c"].map(place)
+            new = y.isna().to_numpy()
+            at = np.empty_like(order)
+            np.put_along_axis(at, order, np.arange(order.shape[1])[None, :], axis=1)
+            rank = np.where(new, len(place), at[row, y.fillna(0).to_numpy(np.int64)])
+            yield b[names].assign(rank=rank.astype("int64"), unseen=b["_c"].where(new, None).astype(object))
 
-    return rows.mapInPandas(run, StructType([*df.schema.fields, StructField("rank", LongType())]))
+    return rows.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("rank", T.LongType()), T.StructField("unseen", T.StringType())]))
 
 
 def from_ranks(df: DataFrame, parents: Sequence[str], child: str, net: Net) -> DataFrame:
     """The inverse of :func:`with_ranks`."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
     rows = df.withColumns({f"_p{k}": text_of(p) for k, p in enumerate(parents)})
-    names, n = [c for c in df.columns if c != "rank"], len(parents)
+    names, n = [c for c in df.columns if c not in ("rank", "unseen")], len(parents)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         values = np.array(net.children, dtype=object)
         for b in batches:
-            z = net.logits(net.ids([b[f"_p{k}"] for k in range(n)]))
-            order = np.argsort(-z, axis=1, kind="stable")
-            yield b[names].assign(**{child: values[order[np.arange(len(b)), b["rank"].to_numpy()]]})
-
-    fields = [f for f in df.schema.fields if f.name != "rank"]
-    return rows.mapInPandas(run, StructType([*fields, StructField(child, StringType())]))
+            if not len(b):
+                continue
+            row, order = scores(net, [b[f"_p{k}"] for k in range(n)])
+            rank = b["rank"].to_numpy()
+            known = values[order[row, np.minimum(rank, len(values) - 1)]]
+            yield b[names].assign(**{child: np.where(rank < len(values), known, b["unseen"].to_numpy(object))})
+
+    fields = [f for f in df.schema.fields if f.name in names]
+    return rows.mapInPandas(run, T.StructType([*fields, T.StructField(child, T.StringType())]))
 
 
 def choose(df: DataFrame, parent: str, child: str, key: str, margin: float = 0.0, **how) -> dict:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.codes import gamma_bits, golomb_bits, golomb_parameter, hash_bucket
 
 LN2 = 0.6931471805599453
+#: Rows that quantile edges are taken from.
+EDGE_ROWS = 10_000
 
 
 def text_of(c: str | Column) -> Column:
@@ -62,23 +64,32 @@ def hashed(df: DataFrame, columns: Sequence[str], buckets: int = 4096) -> DataFr
     return df.select(*[hash_bucket(F.col(c), buckets).alias(c) for c in columns])
 
 
-def quantile_edges(df: DataFrame, columns: Sequence[str], bins: int = 256) -> dict[str, list[float]]:
-    """Inner bin edges of each numeric column: distinct interpolated quantiles (at most ``bins`` - 1 numbers)."""
+def quantile_edges(df: DataFrame, columns: Sequence[str], bins: int = 256, key: Sequence[str] = (), rows: int = EDGE_ROWS, seed: int = 0) -> dict[str, list[float]]:
+    """Inner bin edges of each numeric column: distinct interpolated quantiles (at most ``bins`` - 1 numbers) of at
+    most ``rows`` rows, the same for the same seed and ``key`` (by default, the columns themselves)."""
     shares = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), shares).alias(c) for c in columns]).first()
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key or columns])
+    part = df.select(*columns, F.md5(name).alias("_rank")).orderBy("_rank", *columns).limit(rows)
+    row = part.agg(*[F.percentile(F.col(c).cast("double"), shares).alias(c) for c in columns]).first()
     return {c: sorted(set(row[c] or []))[1:-1] for c in columns}
 
 
-def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int = 256) -> DataFrame:
-    """Each numeric column as the number of its inner edges that are not above the value; a constant column is 0."""
-    edges = quantile_edges(df, columns, bins)
+def bin_of(value: Column, edges: Sequence[float], run: int = 16) -> Column:
+    """How many of the sorted ``edges`` are not above the value: by runs of edges first, then within one run."""
+    if not edges:
+        return F.lit(0).cast("long")
+    constants = lambda some: F.array(*[F.lit(float(e)) for e in some])
+    below = lambda some: F.size(F.filter(some, lambda e: e <= value))
+    if len(edges) <= run:
+        return below(constants(edges)).cast("long")
+    skipped = F.greatest(below(constants(edges[::run])) - 1, F.lit(0)) * run
+    return (skipped + below(F.slice(constants(edges), skipped + 1, run))).cast("long")
 
-    def binned(c: str) -> Column:
-        if not edges[c]:
-            return F.lit(0).cast("long")
-        return F.size(F.filter(F.array(*[F.lit(e) for e in edges[c]]), lambda e: e <= F.col(c).cast("double"))).cast("long")
 
-    return df.select(*[binned(c).alias(c) for c in columns])
+def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int = 256, key: Sequence[str] = ()) -> DataFrame:
+    """Each numeric column as the number of its inner edges that are not above the value; a constant column is 0."""
+    edges = quantile_edges(df, columns, bins, key)
+    return df.select(*[bin_of(F.col(c).cast("double"), edges[c]).alias(c) for c in columns])
 
 
 def sample_rows(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:

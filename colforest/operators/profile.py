@@ -81,10 +81,27 @@ def mean_divergence(kl: DataFrame) -> DataFrame:
     return kl.where("kl > 0").agg(F.count("*").alias("n_parents"), F.avg("kl").alias("mean_kl"))
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Interpolated quantiles of a numeric column; rows are numbered in order by a distributed sort, and the driver
+    gets the two neighbours of each."""
+    from ..sources.tables import numbered
+
+    rows = numbered(df.select(F.col(column).cast("double").alias("v")).where("v is not null"), ["v"], "at")
+    n = rows.count()
+    if not n:
+        return [None] * len(shares)
+    spots = [q * (n - 1) for q in shares]
+    wanted = sorted({int(s) for s in spots} | {min(n - 1, int(s) + 1) for s in spots})
+    v = {r.at: r.v for r in rows.where(F.col("at").isin(wanted)).collect()}
+    return [v[int(s)] + (s - int(s)) * (v[min(n - 1, int(s) + 1)] - v[int(s)]) for s in spots]
+
+
 def residuals(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One row: mean, population deviation, mean size, percent exact, and the 1st and 99th percentiles to clip at."""
     r = F.col(actual) - F.col(predicted)
-    return df.agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("deviation"), F.avg(F.abs(r)).alias("mean_size"), (100.0 * F.avg((r == 0).cast("double"))).alias("pct_exact"), F.percentile(r, 0.01).alias("low"), F.percentile(r, 0.99).alias("high"))
+    low, high = exact_quantiles(df.select(r.alias("r")), "r", (0.01, 0.99))
+    out = df.agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("deviation"), F.avg(F.abs(r)).alias("mean_size"), (100.0 * F.avg((r == 0).cast("double"))).alias("pct_exact"))
+    return out.withColumns({"low": F.lit(low).cast("double"), "high": F.lit(high).cast("double")})
 
 
 def trend(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -106,6 +123,22 @@ def dominance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return best.select("column", "mode", (F.col("m") / F.col("n")).alias("share"))
 
 
+def top_parents(df: DataFrame, parent: str, child: str, k: int = 3) -> DataFrame:
+    """(p, n, top_child, kl): the ``k`` most frequent parent values, ties to the smaller, each with its most frequent
+    child and the divergence (nats) of its children from those of all rows."""
+    dist = conditional_distribution(df, parent, child)
+    whole = dist.groupBy("c").agg(F.sum("n").alias("t")).withColumn("share", F.col("t") / F.sum("t").over(Window.partitionBy()))
+    best = dist.groupBy("p").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "p").limit(k)
+    both = dist.join(best, "p").join(whole, "c")
+    return both.groupBy("p").agg(F.sum("n").alias("n"), F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("top_child"), F.sum(F.col("prob") * F.log(F.col("prob") / F.col("share"))).alias("kl"))
+
+
+def characteristics(df: DataFrame) -> DataFrame:
+    """One row about a table: rows, columns, bytes of its cells as text, share of numeric columns."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(len(df.columns)))
+    return df.agg(F.count("*").alias("n_rows"), F.sum(size).alias("bytes")).join(numeric_share(df)).select("n_rows", F.col("n_columns"), "bytes", F.col("share").alias("numeric_share"))  # one row each
+
+
 def runs(df: DataFrame, column: str, order: str, stripe: str) -> DataFrame:
     """(stripe, n, zero_share, run_share, mean_step): shares of zeros and of cells equal to the one before,
     and the mean absolute step.  Order holds within a stripe, so no task sees more than one stripe."""

@@ -123,8 +123,7 @@ def encode_for_counting(df: DataFrame, columns: Sequence[str], mode: str, bucket
     if mode != "hashed":
         raise ValueError(f"unknown mode {mode!r}: exact, hashed or auto")
     edges = P.quantile_edges(df, numeric, min(256, buckets)) if numeric else {}
-    size = lambda c: F.size(F.filter(F.array(*[F.lit(e) for e in edges[c]]), lambda e: e <= F.col(c).cast("double"))) if edges[c] else F.lit(0)
-    return df.select(*[size(c).alias(c) if c in edges else P.hash_bucket(F.col(c), buckets).alias(c) for c in columns])
+    return df.select(*[P.bin_of(F.col(c).cast("double"), edges[c]).alias(c) if c in edges else P.hash_bucket(F.col(c), buckets).alias(c) for c in columns])
 
 
 def learn_forest(
