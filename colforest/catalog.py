@@ -77,16 +77,21 @@ def score_sql(source: str, n: int) -> str:
     """CTEs up to score(i, j, n, k, mi, bits, w)."""
     return f"""{hist_sql(source, n)},
 marg AS (SELECT *, sum(c) OVER (PARTITION BY i, j, x) AS cx, sum(c) OVER (PARTITION BY i, j, y) AS cy, sum(c) OVER (PARTITION BY i, j) AS n, count(*) OVER (PARTITION BY i, j) AS k FROM hist),
-charged AS (SELECT *, CAST(greatest(least(floor(0.693 * n / k), 8192), 8) AS BIGINT) AS m FROM marg),
+charged AS (SELECT *, CAST(greatest(least(floor(0.693::DOUBLE * (n::DOUBLE / k)), 8192), 8) AS BIGINT) AS m FROM marg),
 score0 AS (SELECT i, j, n, k, greatest(0, sum(c::DOUBLE / n * ln(c::DOUBLE * n / (cx::DOUBLE * cy)))) AS mi,
   sum(CASE WHEN n::DOUBLE / k > 1 AND n::DOUBLE / k < 100 THEN {golomb_sql('c', 'm')} ELSE {gamma_sql('(c + 1)')} END) + {gamma_sql('k')} AS bits FROM charged GROUP BY i, j, n, k),
 score AS (SELECT i, j, n, k, mi, bits::DOUBLE AS bits, n * mi / ln(2) - bits AS w FROM score0)"""
 
 
-FOREST_SQL = f"""{score_sql(GEO_SQL, 5)},
+def forest_sql(source: str, n: int) -> str:
+    """CTEs up to forest(u, v, w) of the columns c0 to c(n-1): an edge stays unless heavier ones join its ends."""
+    return f"""{score_sql(source, n)},
 edge AS (SELECT i AS u, j AS v, round(w, 6) AS w, row_number() OVER (ORDER BY round(w, 6) DESC, i, j) AS rk FROM score WHERE w > 0),
 reach(rk, node) AS (SELECT rk, u FROM edge UNION SELECT r.rk, CASE WHEN e.u = r.node THEN e.v ELSE e.u END FROM reach r JOIN edge e ON e.rk < r.rk AND (e.u = r.node OR e.v = r.node)),
 forest AS (SELECT u, v, w FROM edge e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.rk = e.rk AND r.node = e.v))"""
+
+
+FOREST_SQL = forest_sql(GEO_SQL, 5)
 ORIENT_SQL = f"""{FOREST_SQL},
 near AS (SELECT u AS a, v AS b FROM forest UNION ALL SELECT v, u FROM forest),
 seen(top, node) AS (SELECT k, k FROM range(5) r(k) UNION SELECT s.top, n.b FROM seen s JOIN near n ON n.a = s.node),
@@ -129,9 +134,9 @@ def edge_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(P.Window.orderBy(F.desc("w"), "u", "v"))).select("rank", "u", "v", "w")
 
 
-@query("chain_baseline", "SELECT (k - 1)::INTEGER AS u, k::INTEGER AS v, 1.0::DOUBLE AS w FROM range(1, 5) r(k)")
+@query("chain_baseline", f"SELECT (k - 1)::INTEGER AS u, k::INTEGER AS v, 1.0::DOUBLE AS w FROM (SELECT unnest(range(1, count(*)::BIGINT)) AS k FROM (DESCRIBE {GEO_SQL}))")
 def chain_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(G.chain(len(GEO)), "u int, v int, w double")
+    return spark.createDataFrame(G.chain(len(geo(spark, sf_dir).columns)), "u int, v int, w double")
 
 
 @query("edge_recall", f"WITH RECURSIVE {FOREST_SQL} SELECT round(count(f.u)::DOUBLE / 4, 6) AS recall FROM range(1, 5) r(k) LEFT JOIN forest f ON f.u = k - 1 AND f.v = k")
@@ -150,7 +155,9 @@ BUCKETS, BINS = 256, 64
 HASHED_SQL = "SELECT " + ", ".join(f"(('0x' || substr(md5({c}::VARCHAR), 1, 8))::BIGINT % {BUCKETS})::VARCHAR AS c{k}" for k, c in enumerate(ORDERS)) + " FROM orders"
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount"]
 EDGES_SQL = ", ".join(f"list_sort(list_distinct(quantile_cont({c}, [k / {BINS}.0 FOR k IN range({BINS + 1})])))[2:-2] AS e{k}" for k, c in enumerate(MEASURES))
-QUANTILE_SQL = f"SELECT " + ", ".join(f"len(list_filter(e{k}, lambda e: e <= {c}))::VARCHAR AS c{k}" for k, c in enumerate(MEASURES)) + f" FROM lineitem, (SELECT {EDGES_SQL} FROM lineitem)"
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+EDGE_ROWS_SQL = f"(SELECT * FROM lineitem ORDER BY md5('0|' || " + " || '|' || ".join(LINE_KEY) + f"), {', '.join(MEASURES)} LIMIT {P.EDGE_ROWS})"
+QUANTILE_SQL = f"SELECT " + ", ".join(f"len(list_filter(e{k}, lambda e: e <= {c}))::VARCHAR AS c{k}" for k, c in enumerate(MEASURES)) + f" FROM lineitem, (SELECT {EDGES_SQL} FROM {EDGE_ROWS_SQL})"
 
 
 @query("pair_hist_lineitem", f"WITH {hist_sql(LINE_SQL, 6)} SELECT i::INTEGER AS i, j::INTEGER AS j, x, y, c FROM hist")
@@ -177,7 +184,7 @@ def mi_hashed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mi_quantile_lineitem", f"WITH {score_sql(QUANTILE_SQL, 3)} {MI_OUT}")
 def mi_quantile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mi(P.quantile_bins(load(spark, sf_dir, "lineitem"), MEASURES, BINS), MEASURES)
+    return _mi(P.quantile_bins(load(spark, sf_dir, "lineitem"), MEASURES, BINS, LINE_KEY), MEASURES)
 
 
 @query("mdl_proxy_lineitem", f"WITH {score_sql(LINE_SQL, 6)} SELECT i::INTEGER AS i, j::INTEGER AS j, n::BIGINT AS n, k, bits FROM score")
@@ -393,7 +400,10 @@ def prepare_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.prepare(raw.select(F.col("page_id").cast("string").alias("page_id"), "url", "html"))
 
 
-@query("numeric_share", "SELECT 4 AS n_columns, 1 AS n_numeric, 0.25::DOUBLE AS share")
+NUMERIC_SQL = "SELECT count(*)::INTEGER AS n_columns, sum(num)::INTEGER AS n_numeric, sum(num)::DOUBLE / count(*) AS share FROM (SELECT col, min((try_cast(trim(v) AS DOUBLE) IS NOT NULL)::INTEGER) AS num FROM ({src}) GROUP BY col)"
+
+
+@query("numeric_share", NUMERIC_SQL.replace("{src}", long_sql("part", PART)))
 def numeric_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.numeric_share(load(spark, sf_dir, "part").select(*PART))
 
@@ -436,4 +446,4 @@ def code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.select("v", C.gamma_bits(v).alias("gamma"), C.golomb_bits(v, F.lit(11)).alias("golomb"), C.varint_length(v).alias("varint"), C.hash_bucket(v, 4096).alias("bucket"))
 
 
-from . import catalog_more  # noqa: E402, F401  adds the queries on archives, models, reports and streams
+from . import catalog_files, catalog_more  # noqa: E402, F401  add the queries on files and sources, archives, models, reports and streams

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import GEO, GEO_SQL, geo, hist_sql, load, query, r6, score_sql, text_sql
+from .catalog import FOREST_SQL, GEO, GEO_SQL, forest_sql, geo, hist_sql, load, query, r6, score_sql, text_sql
 from .functions import codes as C
 from .operators import models as M
 from .operators import segments as S
@@ -55,14 +55,18 @@ def codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.codec_sizes(load(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], "o_orderkey")
 
 
-@query("model_rank_code", "SELECT conv_id, turn, role FROM conversations")
-def model_rank_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles coded by rank under a learned model and read back."""
-    talk = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role").withColumn("row", F.concat_ws("-", "conv_id", "turn", "role"))
-    net = M.train(talk, ["turn"], "role", "row", epochs=30)
+def trained(net: M.Net | None) -> M.Net:
     if net is None:
-        return talk.select("conv_id", "turn", "role")
-    return M.from_ranks(M.with_ranks(talk, ["turn"], "role", net).drop("role"), ["turn"], "role", net).select("conv_id", "turn", "role")
+        raise RuntimeError("the table gave no model")
+    return net
+
+
+@query("model_rank_code", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def model_rank_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities coded by rank under a learned model and read back."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    net = trained(M.train(orders, ["o_orderstatus"], "o_orderpriority", "o_orderkey", epochs=5))
+    return M.from_ranks(M.with_ranks(orders, ["o_orderstatus"], "o_orderpriority", net).drop("o_orderpriority"), ["o_orderstatus"], "o_orderpriority", net)
 
 
 @query("model_choice")
@@ -76,9 +80,7 @@ def model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_several_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     parents = ["n_regionkey", "c_nationkey", "c_mktsegment"]
-    net = M.train(rows, parents, "n_name", "c_custkey", epochs=20)
-    if net is None:
-        return rows.select("c_custkey", "n_name")
+    net = trained(M.train(rows, parents, "n_name", "c_custkey", epochs=20))
     coded = M.with_ranks(rows, parents, "n_name", net).drop("n_name")
     return M.from_ranks(coded, parents, "n_name", net).select("c_custkey", "n_name")
 
@@ -86,21 +88,57 @@ def model_several_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREE = [(0, 1), (0, 2), (1, 3), (2, 4), (5, 6), (5, 7), (6, 8), (8, 9)]
 
 
-@query("synthetic_tree_recovery", "SELECT 8 AS n_true, true AS recovered")
+def uniform_sql(seed: int, name: str) -> str:
+    return f"(('0x' || substr(md5('{seed}|{name}|' || row_id), 1, 13))::BIGINT::DOUBLE / {2**52}::DOUBLE)"
+
+
+def pick_sql(seed: int, name: str, n: int) -> str:
+    return f"floor({uniform_sql(seed, name)} * {n})::INTEGER"
+
+
+def steps_sql(n: int, steps: list[tuple[str, str]]) -> str:
+    """A table of ``n`` rows that gets one column after another, and its columns as texts c0, c1, ..."""
+    ctes = [f"s0 AS (SELECT range AS row_id FROM range({n}))"] + [f"s{k} AS (SELECT *, {value} AS {name} FROM s{k - 1})" for k, (name, value) in enumerate(steps, 1)]
+    return f"WITH {', '.join(ctes)} SELECT " + ", ".join(f"{name}::VARCHAR AS c{k}" for k, (name, _) in enumerate(steps)) + f" FROM s{len(steps)}"
+
+
+def tree_steps(edges: list[tuple[int, int]], columns: int, cardinality: int, seed: int = 42) -> list[tuple[str, str]]:
+    parent, steps = {v: u for u, v in edges}, []
+    for i in range(columns):
+        name, pick = f"col_{i}", pick_sql(seed, f"col_{i}", cardinality)
+        u, p = uniform_sql(seed, f"{name}/u"), f"col_{parent.get(i)}"
+        steps.append((name, f"CASE WHEN {u} < 0.85 THEN {p} WHEN {u} < 0.95 THEN ({p} + 1) % {cardinality} ELSE {pick} END" if i in parent else pick))
+    return steps
+
+
+def level_steps(branches: int, strength: float, seed: int) -> list[tuple[str, str]]:
+    steps = [(f"root_{i}", pick_sql(seed, f"root_{i}", 10)) for i in range(branches)]
+    names = [f"level_1_node_{m}" for m in range(branches * branches)]
+    for m, name in enumerate(names):
+        p, k = f"root_{m // branches}", m % branches
+        steps.append((name, f"CASE WHEN {uniform_sql(seed, name + '/u')} < {strength} THEN ({p} * {3 + k} + {k}) % 10 ELSE {pick_sql(seed, name, 10)} END"))
+    return steps
+
+
+@query("synthetic_tree_recovery", f"WITH RECURSIVE {forest_sql(steps_sql(5_000, tree_steps(TREE, 10, 7)), 10)} SELECT u::INTEGER AS u, v::INTEGER AS v, w, (u, v) IN ({', '.join(map(str, TREE))}) AS planted FROM forest")
 def synthetic_tree_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = Y.from_tree(spark, 5_000, TREE, 10, 7)
-    forest = G.learn_forest(data, [f"col_{i}" for i in range(10)])
-    return spark.createDataFrame([(len(TREE), G.recall(TREE, forest.edges) >= 0.7)], "n_true int, recovered boolean")
+    found = G.learn_forest(data, [f"col_{i}" for i in range(10)]).edge_table(spark)
+    pair = F.array(F.least("u", "v"), F.greatest("u", "v"))
+    return found.withColumn("planted", F.array_contains(F.array(*[F.array(F.lit(u), F.lit(v)) for u, v in TREE]), pair))
+
+
+STRENGTHS = tuple(k / 9 for k in range(10))
 
 
-@query("synthetic_strength_sweep")
+@query("synthetic_strength_sweep", " UNION ALL ".join(f"SELECT {s!r}::DOUBLE AS strength, n_edges, total_w FROM (WITH RECURSIVE {forest_sql(steps_sql(4_000, level_steps(2, s, 42)), 6)} SELECT count(*)::INTEGER AS n_edges, round(coalesce(sum(w), 0), 3) AS total_w FROM forest)" for s in STRENGTHS))
 def synthetic_strength_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total weight of the learned forest against the strength of the dependencies."""
     out = []
-    for strength in (0.0, 0.5, 0.9, 1.0):
+    for strength in STRENGTHS:
         data = Y.level_tree(spark, 4_000, 2, 2, strength, 42)
         forest = G.learn_forest(data.drop("row_id"))
-        out.append((strength, len(forest.edges), float(sum(e[2] for e in forest.edges))))
+        out.append((strength, len(forest.edges), round(float(sum(round(e[2], 6) for e in forest.edges)), 3)))
     return spark.createDataFrame(out, "strength double, n_edges int, total_w double")
 
 
@@ -159,7 +197,7 @@ def size_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", C.human_bytes(n).alias("text"))
 
 
-@query("learned_pairs", f"WITH {score_sql(GEO_SQL, 5)} SELECT i::INTEGER AS u, j::INTEGER AS v, round(w, 6) AS w, round(w / n, 6) AS bits_per_row, round(mi / ln(2), 6) AS mi_bits FROM score WHERE w > 0 AND ((i = 0 AND j = 2) OR (i = 3 AND j = 4) OR (i = 0 AND j = 3))")
+@query("learned_pairs", f"WITH RECURSIVE {FOREST_SQL} SELECT i::INTEGER AS u, j::INTEGER AS v, round(s.w, 6) AS w, round(s.w / n, 6) AS bits_per_row, round(mi / ln(2), 6) AS mi_bits FROM score s JOIN forest f ON i = f.u AND j = f.v")
 def learned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.profile import pair_entropies
 

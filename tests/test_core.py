@@ -181,11 +181,61 @@ def test_prepare_and_results(spark, tmp_path):
     for name in ("a/x.csv", "a/x_sample.csv", "b/y.csv", "b/y_restored.csv"):
         (tmp_path / "sets" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "sets" / name).write_text("1\n")
-    assert [p.rsplit("/", 1)[1] for p in D.find_datasets(str(tmp_path / "sets"))] == ["x_sample.csv", "y.csv"]
+    assert [p.rsplit("/", 1)[1] for p in D.find_datasets(spark, str(tmp_path / "sets"))] == ["x_sample.csv", "y.csv"]
     D.parquet_to_text(spark, _parquet(spark, tmp_path), str(tmp_path / "text"))
     assert D.scan(spark, str(tmp_path / "text")).count() >= 4
 
 
+def test_several_files(spark, tmp_path):
+    """A folder of files of unequal size keeps the order of its files, archived and restored too; only a table with
+    line breaks in its cells is read in one task a file."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    sizes = [3, 4_000, 1, 250]
+    lines = [f"{k},{i},{'x' * (i % 50)}" for k, n in enumerate(sizes) for i in range(n)]
+    done = 0
+    for k, n in enumerate(sizes):
+        (folder / f"part-{k}.csv").write_text("\n".join(lines[done : done + n]) + "\n")
+        done += n
+    assert not D.breaks_in_cells(spark, str(folder))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = D.scan(spark, str(folder))
+        assert D.scan(spark, str(folder), row_ids=False).rdd.getNumPartitions() > len(sizes)
+        assert [",".join((r.c0, r.c1, r.c2)) for r in rows.orderBy("row_id").collect()] == lines
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    S.write_archive(rows, str(tmp_path / "kept"), ["c0", "c1", "c2"], "row_id", stripe=512)
+    assert [",".join((r.c0, r.c1, r.c2)) for r in S.read_archive(spark, str(tmp_path / "kept")).orderBy("row_id").collect()] == lines
+    (folder / "part-4.csv").write_text('4,"a\nb",c\n')
+    assert D.breaks_in_cells(spark, str(folder))
+    assert D.scan(spark, str(folder)).where("c0 = 4").select("c1").first().c1 == "a\nb"
+
+
+def test_unseen_values(spark):
+    """A model trained on fewer rows than there are classes still codes every row, in any batches."""
+    rows = [(i, f"p{i % 7}", f"c{i % 211}" if i % 3 else None) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "id long, parent string, child string").repartition(5)
+    net = M.train(df, ["parent"], "child", "id", max_rows=120, epochs=2)
+    assert net is not None and len(net.children) < 142
+    coded = M.with_ranks(df, ["parent"], "child", net)
+    assert coded.where("unseen is not null").count() > 0
+    back = M.from_ranks(coded.drop("child").repartition(3), ["parent"], "child", net)
+    assert {(r.id, r.child) for r in back.collect()} == {(i, c or "") for i, _, c in rows}
+    few = M.fit([["a"] * 60 + ["b"] * 40 + [f"v{i}" for i in range(20)]], ["x", "y"] * 60, epochs=1, most_values=2)
+    assert few.parents == [["a", "b"]]
+
+
+def test_bins_and_quantiles(spark):
+    values = [float(x) for x in range(-50, 50)] + [1e9, -1e9]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for edges in ([], [0.0], [float(e) for e in range(-40, 40, 3)], [float(e) for e in range(-100, 155)]):
+        got = {r.v: r.b for r in df.select("v", P.bin_of(F.col("v"), edges).alias("b")).collect()}
+        assert got == {v: sum(e <= v for e in edges) for v in values}
+    assert R.exact_quantiles(df, "v", (0.0, 0.5, 0.99, 1.0)) == pytest.approx(np.quantile(values, (0.0, 0.5, 0.99, 1.0)).tolist())
+    assert R.exact_quantiles(df.limit(0), "v", (0.5,)) == [None]
+
+
 def _parquet(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "p"))
     return str(tmp_path / "p")
