@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import released
+from .store import release, released
 
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns of the contract (fixed values); the e-mail pattern is applied around each @.
@@ -356,6 +356,7 @@ def train(steps: int = STEPS, seed: int = SEED) -> Tagger:
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g**2
             tagger.p[k] -= (rate * (m[k] / (1 - 0.9**s)) / (np.sqrt(v[k] / (1 - 0.999**s)) + 1e-8)).astype(np.float32)
+    release()
     return tagger
 
 

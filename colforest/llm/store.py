@@ -69,16 +69,21 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
+def release() -> None:
+    """Give back the memory that the allocators of this process still hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``batches``, and at their end the memory that the allocators of this worker still hold: a worker
     outlives its task, and what one operator needed is not to be kept from the next."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        release()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import released
+from .store import release, released
 from .textkit import ALNUM, U, buffers, slices, words
 
 #: Labelled documents to train on, at most: the only bound, from which that of the terms follows; size of the term vectors.
@@ -97,15 +97,13 @@ def evidence(bad: np.ndarray, all_bad: np.ndarray | int, has: np.ndarray, n: np.
     return np.nan_to_num(z, posinf=0.0, neginf=0.0)
 
 
-def in_pairs(which: np.ndarray, row: np.ndarray, toxic: np.ndarray, frequent: np.ndarray, block: int = 1024) -> np.ndarray:
+def in_pairs(sets: list[np.ndarray], toxic: np.ndarray, frequent: np.ndarray, block: int = 512) -> np.ndarray:
     """For each of the ``frequent`` terms, whether it stands in a pair that says more than its other term does:
     among the documents that have one term, the other goes with the label.  All pairs are counted, as products
     of blocks of the matrix of documents and terms."""
-    place = np.full(int(which.max(initial=-1)) + 1, -1)
-    place[frequent] = np.arange(len(frequent))
-    on = place[which] >= 0
-    x = np.zeros((len(toxic), len(frequent)), bool)
-    x[row[on], place[which[on]]] = True
+    x = np.zeros((len(sets), len(frequent)), bool)
+    for i, s in enumerate(sets):
+        x[i, np.searchsorted(frequent, s[np.isin(s, frequent)])] = True
     found = np.zeros(len(frequent), bool)
     has, bad = x.sum(axis=0).astype(float), x[toxic].sum(axis=0).astype(float)
     # a term that matters by itself is kept for that; it makes no pair of every term beside it
@@ -135,13 +133,13 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, seed: int = SEED) -> Machine:
     none = Machine(np.zeros(0, np.uint32), float(np.log(base / (1 - base))), np.zeros(0), np.zeros((0, FACTORS)))
     if pos == 0 or pos == n:
         return none
-    terms, which = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(x) for x in sets])
-    has, bad = np.bincount(which), np.bincount(which, weights=toxic[row])
-    z = evidence(bad, pos, has, n)
-    keep = (np.abs(z) >= LEAST_Z) & (has >= LEAST_DOCS)
-    frequent = np.flatnonzero(has >= max(LEAST_BOTH, LEAST_SHARE * n))
-    keep[frequent[in_pairs(which, row, toxic, frequent)]] = True
+    terms, has = np.unique(np.concatenate(sets), return_counts=True)
+    of_toxic, count = np.unique(np.concatenate([x for x, t in zip(sets, toxic) if t]), return_counts=True)
+    bad = np.zeros(len(terms))
+    bad[np.searchsorted(terms, of_toxic)] = count
+    keep = (np.abs(evidence(bad, pos, has, n)) >= LEAST_Z) & (has >= LEAST_DOCS)
+    frequent = has >= max(LEAST_BOTH, LEAST_SHARE * n)
+    keep[frequent] |= in_pairs(sets, toxic, terms[frequent])
     if not keep.any():
         return none
     m = none
@@ -198,7 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # the id list is bounded by ``rows``, whatever the corpus
     chosen = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id").select(F.col("_id").cast("string"), "_text", F.col("_toxic").cast("int"))
     found = sorted(chosen.mapInArrow(lambda batches: released(terms(batches)), "id string, terms binary, toxic int").collect())
-    return fit([np.frombuffer(r.terms, np.uint32) for r in found], np.array([r.toxic == 1 for r in found], bool))
+    machine = fit([np.frombuffer(r.terms, np.uint32) for r in found], np.array([r.toxic == 1 for r in found], bool))
+    del found
+    release()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
