@@ -3,7 +3,7 @@
 All words that a batch needs for the first time lie in one linked symbol list.  An index maps each
 mergeable pair, by its rank, to all its positions.  Ranks are taken in ascending order from a heap; a
 rank merges its positions from left to right, and every merge puts the two pairs it makes on their own
-lists.  Words met before come from a bounded cache, so a word is merged once, not once per occurrence.
+lists.  Words met of late come from bounded tables, so a word is merged once, not once per occurrence.
 
 Defined results: a null or empty text has no ids and decodes to ''; special-token strings in a text
 become their ids, as the library does by default; repeated rows give repeated results; other columns,
@@ -30,7 +30,9 @@ from .store import released
 
 #: Pre-tokenizer of the vocabulary, and its white-space class (fixed values, as in the vocabulary file).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Words kept per worker; beyond it the cache starts anew. It bounds memory and changes no result.
+#: The same for ASCII in lower case, where the classes are short enough to be written out.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+#: Entries in one generation of a worker's tables. It bounds memory and changes no result.
 CACHE_WORDS = 250_000
 SLICE_DOCS = 512
 
@@ -54,6 +56,24 @@ def runs(text: str) -> list[str]:
     return re.split(r"[ \t\n\r\x0b\x0c]+", text)
 
 
+class Recent:
+    """A table of the entries used of late, in two generations: when the newer is full, the older goes."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Those of ``keys`` that are in neither generation; the others are in the newer one from then on."""
+        need = keys - self.new.keys()
+        if len(self.new) + len(need) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+            need = keys
+        held = need & self.old.keys()
+        self.new.update(zip(held, map(self.old.__getitem__, held)))
+        return need - held
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -80,8 +100,7 @@ class Codec:
         for k, r in self.rank.items():
             if k // size < top and k % size < top:
                 self.base_rank[k // size, k % size] = r
-        self.cache: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.words, self.known = Recent(), Recent()
 
     def pieces(self, word: str) -> list[str | int]:
         """Pre-tokens (as byte-level text to come) and special ids of a run without ASCII white space."""
@@ -91,7 +110,7 @@ class Codec:
             if p in self.special:
                 out.append(self.special[p])
             elif p:
-                out += PIECES.findall(lower_each(p if p.isascii() else unicodedata.normalize("NFC", p)))
+                out += ASCII_PIECES.findall(p.lower()) if p.isascii() else PIECES.findall(lower_each(unicodedata.normalize("NFC", p)))
         return out
 
     def merged(self, pieces: list[str]) -> list[bytes]:
@@ -148,26 +167,20 @@ class Codec:
         return [ids[a:b] for a, b in zip([0, *last.tolist()], last.tolist())]
 
     def learn(self, words: Iterable[str]) -> None:
-        """Put the ids of new words into the cache."""
+        """Put the ids of new words into the table of words."""
         cut = [(w, (w.lower(),) if w.isascii() and w.isalpha() else self.pieces(w)) for w in words]
-        known = self.known
-        new = [*{p for _, ps in cut for p in ps if isinstance(p, str) and p not in known}]
+        new = [*self.known.missing({p for _, ps in cut for p in ps if isinstance(p, str)})]
+        known, into = self.known.new, self.words.new
         if new:
             known.update(zip(new, self.merged(new)))
         for w, ps in cut:
-            self.cache[w] = known[ps[0]] if len(ps) == 1 and isinstance(ps[0], str) else b"".join([known[p] if isinstance(p, str) else np.int32(p).tobytes() for p in ps])
-        if len(known) > CACHE_WORDS:
-            known.clear()
+            into[w] = known[ps[0]] if len(ps) == 1 and isinstance(ps[0], str) else b"".join([known[p] if isinstance(p, str) else np.int32(p).tobytes() for p in ps])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text."""
         split = [runs(t or "") for t in texts]
-        need = set().union(*split) - self.cache.keys() if split else set()
-        if len(self.cache) + len(need) > CACHE_WORDS:
-            self.cache = {}
-            need = set().union(*split)
-        self.learn(need)
-        get = self.cache.__getitem__
+        self.learn(self.words.missing(set().union(*split)))
+        get = self.words.new.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), dtype=np.int32) for ws in split]
 
     def decode(self, ids: Iterable[int]) -> str:
