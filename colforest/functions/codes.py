@@ -47,11 +47,21 @@ def hash_bucket(v: Column, buckets: int) -> Column:
     return (F.conv(F.substring(F.md5(F.coalesce(v.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % buckets).cast("long")
 
 
-def human_bytes(n: Column) -> Column:
-    """Bytes as text in the largest fitting unit, one decimal."""
-    out = F.format_string("%.1f TB", n / 1024.0**4)
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(out)
+#: Units of byte counts, each 1,024 of the one before.
+UNITS = ("B", "KB", "MB", "GB", "TB")
+
+
+def human_bytes(n: Column, largest: str = UNITS[-1]) -> Column:
+    """Bytes as text in the largest fitting unit up to ``largest``, one decimal; null for null.
+
+    ``format_number`` rounds the exact value, ties to even, as C and Python do; ``format_string`` rounds its digits up."""
+    def text(power: int) -> Column:
+        return F.concat(F.call_function("format_number", n / 1024.0**power, F.lit("0.0")), F.lit(f" {UNITS[power]}"))
+
+    top = UNITS.index(largest)
+    out = text(top)
+    for power in reversed(range(top)):
+        out = F.when(n < 1024.0 ** (power + 1), text(power)).otherwise(out)
     return out
 
 

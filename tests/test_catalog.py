@@ -36,6 +36,17 @@ def test_query(spark, sf_dir, duck, name):
     assert rows(cols, got) == rows(cols, want)
 
 
+def test_size_texts_of_large_keys(spark, tmp_path):
+    """Keys beyond those of sf0.01: sizes of 1,024 GB and more, ties of the decimal, a null."""
+    keys = [0, 1, 4, 128, 4095, 4096, 131071, 131072, 131073, 149999, 8999999, 2048 * 5793, 2048 * 5795, 379625062, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    got = {r.o_orderkey: r.text for r in catalog.QUERIES["size_texts"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(catalog.SQL["size_texts"]).fetchall())
+    assert got[131072] == "1024.0 GB" and got[2048 * 5793] == "8389712.2 GB" and got[None] is None
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -249,6 +249,13 @@ def test_report_text(spark):
     assert tuple(one) == ("1.50 MB/s", "-", "a" * 15 + "...")
 
 
+def test_human_bytes(spark):
+    sizes = [0.0, 1023.0, 1024.0, 1280.0, 1792.0, 1.25 * 1024**3, 1024.0**4, 1.75 * 1024**4, None]
+    got = spark.createDataFrame([(n,) for n in sizes], "n double").select(C.human_bytes(F.col("n")).alias("a"), C.human_bytes(F.col("n"), largest="GB").alias("b")).collect()
+    assert [r.a for r in got] == ["0.0 B", "1023.0 B", "1.0 KB", "1.2 KB", "1.8 KB", "1.2 GB", "1.0 TB", "1.8 TB", None]
+    assert [r.b for r in got] == ["0.0 B", "1023.0 B", "1.0 KB", "1.2 KB", "1.8 KB", "1.2 GB", "1024.0 GB", "1792.0 GB", None]
+
+
 def test_numbers_are_contiguous(spark):
     df = numbered(spark.range(1_000).repartition(7), ["id"])
     assert df.where("row_id <> id").count() == 0
